@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harrow.llm import exact_dedup, packing, quality, scratch, sentencepiece_codec, sharding, simhash, warc
+from harrow.llm import exact_dedup, packing, quality, scratch, sentencepiece_codec, sharding, simhash, substring, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substring.remove_repeats(_table(spark, sf_dir, "documents"), window=13)
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "utf-8"), 256).alias("kept_sha256"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = quality.fit(quality.training_rows(docs, _table(spark, sf_dir, "labels")))
@@ -77,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_sharding": op6_sharding,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_simhash": op8_simhash,
+        "op9_substring": op9_substring,
         "op10_quality": op10_quality,
     }
 

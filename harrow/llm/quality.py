@@ -7,7 +7,7 @@ rows that the dictionaries have not seen, turns it into a score from 0 to 1.
 
 Fitting uses a bounded sample: at most ``dictionary_rows`` rows per class for the dictionaries and
 ``calibration_rows`` per class for the curve, each cut to ``sample_bytes`` (documented bounds; the
-rows with the smallest hash of their id are taken).  Scoring reads every whole text.
+ids with the smallest hash are taken).  Scoring reads every whole text.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 2048
@@ -84,50 +84,45 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1] / scale)
 
 
-def _sample(labelled: DataFrame, n: int, sample_bytes: int) -> list[tuple[bytes, int, int]]:
-    """The n labelled rows of each class with the smallest hash; bounded, so the driver may hold them."""
-    out = []
-    for value in (0, 1):
-        top = labelled.where(F.col("y") == value).orderBy("h", "id").limit(n)
-        out += [(bytes(r["t"]), value, i) for i, r in enumerate(top.select(F.substring(F.encode("t", "utf-8"), 1, sample_bytes).alias("t")).collect())]
-    return out
-
-
 def fit(
-    labelled: DataFrame,
+    docs: DataFrame,
+    labels: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "quality",
     dictionary_rows: int = 1500,
     calibration_rows: int = 1000,
-    sample_bytes: int = 8192,
+    sample_bytes: int = 4096,
     dictionary_bytes: int = 112_640,
 ) -> CompressionModel:
-    """Fit on ``labelled``; rows without a 0/1 label or an id are not used.
+    """Fit on the texts of ``docs`` that ``labels`` marks 0 or 1; of an id's labels the smallest counts.
 
-    A class without rows leaves its dictionary empty; the score is then the share of label 1
-    (1/2 with no labels at all).
+    The sample is drawn from the ids alone, so it has at most ``2 * (dictionary_rows +
+    calibration_rows)`` rows and is broadcast to find its texts in one scan.  A class without rows
+    leaves both dictionaries empty; the score is then the share of label 1 (1/2 with no labels).
     """
-    rows = labelled.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(
-        F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.col(label_col).cast("int").alias("y"), F.xxhash64(F.col(id_col).cast("string")).alias("h")
-    )
-    counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("y"))
+    known = known.withColumn("h", F.xxhash64(F.col("id").cast("string")))
+    counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     share = (counts.get(1, 0) + 0.5) / (sum(counts.values()) + 1)
     prior = float(np.log(share / (1 - share)))
     if len(counts) < 2:
         return CompressionModel(b"", b"", prior, 0.0)
-    sample = _sample(rows, dictionary_rows + calibration_rows, sample_bytes)
-    # Of a small class a third at least is left for the curve.
-    own = {v: min(dictionary_rows, max(1, counts[v] * 2 // 3)) for v in (0, 1)}
-    model = CompressionModel(*(_dictionary([t for t, y, i in sample if y == v and i < own[v]], dictionary_bytes) for v in (1, 0)), 0.0, 0.0)
-    rest = [(t, y) for t, y, i in sample if i >= own[y]] or [(t, y) for t, y, _ in sample]
-    x, y = np.array([model.evidence(t) for t, _ in rest]), np.array([y for _, y in rest], dtype=float)
+    n = dictionary_rows + calibration_rows
+    drawn = known.where("y = 0").orderBy("h", "id").limit(n).unionAll(known.where("y = 1").orderBy("h", "id").limit(n))
+    texts = docs.select(F.col(id_col).alias("id"), F.substring(F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8"), 1, sample_bytes).alias("t"))
+    rows = sorted((r["h"], r["id"], r["y"], bytes(r["t"])) for r in texts.join(F.broadcast(drawn), "id").collect())
+    by_class = {v: [t for _, _, y, t in rows if y == v] for v in (0, 1)}
+    # Of a small class a third is left for the curve.
+    own = {v: min(dictionary_rows, len(by_class[v]) * 2 // 3 or 1) for v in (0, 1)}
+    model = CompressionModel(*(_dictionary(by_class[v][: own[v]], dictionary_bytes) for v in (1, 0)), 0.0, 0.0)
+    rest = [(t, v) for v in (0, 1) for t in by_class[v][own[v] :]]
+    x, y = np.array([model.evidence(t) for t, _ in rest]), np.array([v for _, v in rest], dtype=float)
     if len(set(y)) < 2:
         return CompressionModel(model.good, model.bad, prior, 0.0)
     bias, slope = _logistic(x, y)
     # The sample is even by class; put the true share of the classes back into the bias.
-    even = float(np.log(max(y.mean(), 1e-6) / max(1 - y.mean(), 1e-6)))
-    return CompressionModel(model.good, model.bad, bias - even + prior, slope)
+    return CompressionModel(model.good, model.bad, bias - float(np.log(y.mean() / (1 - y.mean()))) + prior, slope)
 
 
 def score(docs: DataFrame, model: CompressionModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -143,12 +138,6 @@ def score(docs: DataFrame, model: CompressionModel, id_col: str = "doc_id", text
     return scored.withColumnRenamed("id", id_col)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, folds: int = 5, id_col: str = "doc_id") -> DataFrame:
-    """Labelled rows whose id is not held out: ``crc32(id as text) mod folds`` is not 0."""
-    known = labels.where(~held_out(F.col(id_col), folds)).select(F.col(id_col).alias("__id"), F.col("quality").alias("__quality")).where(F.col("__quality").isNotNull()).dropDuplicates(["__id"])
-    texts = docs.select(F.col(id_col).alias("__doc"), F.col("text").alias("__text"))
-    return texts.join(known, F.col("__doc") == F.col("__id")).select(F.col("__doc").alias(id_col), F.col("__text").alias("text"), F.col("__quality").alias("quality"))
-
-
-def held_out(id_column, folds: int = 5):
+def held_out(id_column: Column, folds: int = 5) -> Column:
+    """Whether a row is kept from fitting: the remainder of ``crc32(id as text)`` is 0."""
     return F.crc32(id_column.cast("string").cast("binary")) % folds == 0

@@ -9,7 +9,7 @@ only the 32-byte digest, the byte length that verifies it, one identifier and a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -59,7 +59,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns; of rows repeated with one id and text all stay."""
-    groups = exact_groups(docs, id_col, text_col, keep).where("kept").select(F.col(id_col).alias("__kept_id"), F.unhex("text_sha256").alias("__kept_digest")).distinct()
-    match = docs[id_col].eqNullSafe(groups["__kept_id"]) & (text_digest(docs[text_col]) == groups["__kept_digest"])
-    return docs.join(groups, match, "left_semi")
+    """The rows of ``docs`` that stay, with their columns: one of each group, also of rows that repeat an id and text."""
+    groups = exact_groups(docs, id_col, text_col, keep).where("kept").select(F.col(id_col).alias("__kept_id"), F.unhex("text_sha256").alias("__kept_digest"))
+    rows = docs.withColumns({"__id": F.col(id_col), "__digest": text_digest(F.col(text_col))})
+    left = rows.join(groups, F.col("__id").eqNullSafe(F.col("__kept_id")) & (F.col("__digest") == F.col("__kept_digest")), "left_semi")
+    one = Window.partitionBy("__id", "__digest").orderBy(F.lit(0))  # as the join left the rows: no further exchange
+    return left.withColumn("__row", F.row_number().over(one)).where("__row = 1").select(*[docs[c] for c in docs.columns])

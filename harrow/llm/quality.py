@@ -138,6 +138,17 @@ def score(docs: DataFrame, model: CompressionModel, id_col: str = "doc_id", text
     return scored.withColumnRenamed("id", id_col)
 
 
+def keep(docs: DataFrame, model: CompressionModel, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose score is at least ``threshold``, with all their columns; texts move nowhere."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or b"" for t in batch.column(text_col).cast(pa.binary()).to_pylist()]
+            yield batch.filter(pa.array(model.score(texts) >= threshold, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_column: Column, folds: int = 5) -> Column:
     """Whether a row is kept from fitting: the remainder of ``crc32(id as text)`` is 0."""
     return F.crc32(id_column.cast("string").cast("binary")) % folds == 0

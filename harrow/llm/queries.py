@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harrow.llm import exact_dedup, packing, quality, scratch, sentencepiece_codec, sharding, simhash, substring, warc
+from harrow.llm import exact_dedup, licenses, packing, quality, scratch, sentencepiece_codec, sharding, simhash, substring, vector_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"), threshold=0.9)
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -48,6 +52,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.group_vectors(_table(spark, sf_dir, "embeddings"), least=0.93)
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), n_shards=24)
 
@@ -77,9 +85,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_licenses": op1_licenses,
         "op2_packing": op2_packing,
         "op3_sentencepiece": op3_sentencepiece,
         "op4_warc": op4_warc,
+        "op5_vectors": op5_vectors,
         "op6_sharding": op6_sharding,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_simhash": op8_simhash,
@@ -88,8 +98,34 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+def _licenses_sql() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({quoted(n)}, {quoted(t)})" for n, t in licenses.TEMPLATES.items())
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    words = lambda c: f"list_filter(string_split(regexp_replace(translate({c}, '{upper}', '{lower}'), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '')"
+    return f"""
+        WITH tw AS (SELECT name, {words("txt")} AS w FROM (VALUES {rows}) v(name, txt)),
+        tb AS (SELECT name, len(w) - 1 AS tn, w[k] || ' ' || w[k + 1] AS g, count(*) AS tc FROM tw, unnest(range(1, len(w))) r(k) GROUP BY ALL),
+        lines AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s, text FROM documents),
+        units AS (SELECT doc_id, i - 1 AS line, s[i] AS u FROM lines, unnest(range(1, len(s) + 1)) r(i)
+                  UNION ALL SELECT doc_id, -1, text FROM lines WHERE len(s) > 1),
+        uw AS (SELECT doc_id, line, {words("u")} AS w FROM units),
+        near AS (SELECT * FROM uw WHERE len(w) - 1 BETWEEN 1 AND (SELECT max(tn) * 1.1 / 0.9 + 1 FROM tb)),
+        ub AS (SELECT doc_id, line, len(w) - 1 AS n, w[k] || ' ' || w[k + 1] AS g, count(*) AS c FROM near, unnest(range(1, len(w))) r(k) GROUP BY ALL),
+        d AS (SELECT doc_id, line, name, 2 * sum(least(c, tc))::DOUBLE / (any_value(n) + any_value(tn)) AS dice
+              FROM ub JOIN tb USING (g) GROUP BY doc_id, line, name),
+        best AS (SELECT doc_id, line, name, dice FROM d WHERE dice >= 0.9
+                 QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY dice DESC, name) = 1),
+        top AS (SELECT doc_id, line, name, dice, count(*) OVER (PARTITION BY doc_id) AS n FROM best
+                QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, line) = 1)
+        SELECT documents.doc_id, name AS license, dice AS score, line::INTEGER AS line, coalesce(n, 0) AS n_matches
+        FROM documents LEFT JOIN top USING (doc_id)
+    """
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_licenses": _licenses_sql(),
         "op7_exact_dedup": """
             WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
                  g AS (SELECT x, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY x)

@@ -213,12 +213,14 @@ def group_near(
     lanes: int = 1,
     blocks: list[tuple[int, int]] | None = None,
     reach: int | None = None,
+    link_empty: bool = True,
 ) -> DataFrame:
     """``(id, fp, component)`` of every row: component is the smallest id reachable through fingerprints within ``radius``.
 
     With the default blocks every link is found (``blocks`` of equal width, ``reach`` what the pigeonhole
-    principle asks for).  Null and empty texts have the fingerprint zero and link like any other; rows
-    whose id is null are given back with a null component and link nothing; ids must be whole numbers.
+    principle asks for); narrower ones find those links that differ by ``reach`` or less in a block.
+    Null and empty texts have the fingerprint zero and link like any other, or only with each other
+    where ``link_empty`` is off; rows whose id is null are given back with a null component and link nothing; ids must be whole numbers.
     """
     if blocks is None:
         width = 32
@@ -226,6 +228,13 @@ def group_near(
         reach = radius // len(blocks)
     rows = scratch.materialize(fingerprints(docs, id_col, text_col, shingle, lanes), "simhash")
     unique = scratch.checkpointed(rows.where("id IS NOT NULL").groupBy("fp").agg(F.min("id").cast("long").alias("node")))
-    found = components(near_links(unique.select("node", "fp"), radius, blocks, reach))
+    linked = unique if link_empty else unique.where(F.exists("fp", lambda x: x != 0))
+    found = components(near_links(linked.select("node", "fp"), radius, blocks, reach))
     roots = unique.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
     return rows.join(roots, "fp", "left").select(F.col("id").alias(id_col), "fp", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
+
+
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """The rows of ``docs`` that stay, with their columns: the smallest id of each group; rows without id stay."""
+    dropped = group_near(docs, id_col, text_col, **settings).where(f"`{id_col}` <> component").select(F.col(id_col).alias("__dropped")).distinct()
+    return docs.join(dropped, docs[id_col] == F.col("__dropped"), "left_anti")

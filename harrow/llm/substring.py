@@ -124,9 +124,11 @@ def anchors(words: list[bytes], window: int, gram: int = GRAM) -> np.ndarray:
     return np.minimum(g[:n], g[width - reach : width - reach + n]) if width > reach else g[:n]
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A row is known by its id and its text's hash, as ids may repeat."""
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("t"))
+def _rows(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
+    """A row is known by its id and its text's hash, as ids may repeat; columns to carry along are numbered."""
+    return docs.select(
+        F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("t"), *(F.col(c).alias(f"c{k}") for k, c in enumerate(carry))
+    )
 
 
 def _anchor_rows(rows: DataFrame, window: int, gram: int) -> DataFrame:
@@ -234,14 +236,18 @@ def repeated_spans(rows: DataFrame, window: int, gram: int = GRAM, shard_words:
     return passages.repartition("anchor").sortWithinPartitions("anchor", "id").mapInArrow(_match(window, shard_words), "id long, key long, a long, b long")
 
 
-def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, carry: list[str] | None = None, verbatim: bool = False) -> DataFrame:
     """``(id, n_words, n_removed, kept)`` of every row; ``kept`` is the words left, joined by one space.
 
+    The columns named in ``carry`` follow as ``c0``, ``c1`` and so on.  With ``verbatim`` a text that
+    loses nothing is given as it is.
+
     Words are runs of bytes other than 0x20 and 0x09-0x0D.  A null text has no words, and a text of
     fewer words than the window keeps all.  Rows that share an id do not count against each other;
     rows with a null id keep all words and count against none.  Ids must be whole numbers.
     """
-    rows = _rows(docs, id_col, text_col)
+    rows = _rows(docs, id_col, text_col, carry or [])
+    carried = [c for c in rows.columns if c not in ("id", "key", "t")]
     spans = repeated_spans(rows, window, gram).groupBy("id", "key").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,8 +263,22 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
                     stay = np.cumsum(change)[:-1] == 0
                     words = [w for w, s in zip(words, stay.tolist(), strict=True) if s]
                 removed.append(counts[-1] - len(words))
-                kept.append(b" ".join(words))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["id", "n_words", "n_removed", "kept"])
+                kept.append(t if verbatim and removed[-1] == 0 else b" ".join(words))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), *(batch.column(c) for c in carried)], names=["id", "n_words", "n_removed", "kept", *carried])
+
+    marked = rows.join(spans, ["id", "key"], "left").select("id", "t", "spans", *carried)
+    types = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in carried)
+    return marked.mapInArrow(run, f"id long, n_words long, n_removed long, kept string{types}").withColumnRenamed("id", id_col)
+
 
-    marked = rows.join(spans, ["id", "key"], "left").select("id", "t", "spans")
-    return marked.mapInArrow(run, "id long, n_words long, n_removed long, kept string").withColumnRenamed("id", id_col)
+def drop_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
+    """``docs`` with repeated words removed from their texts; texts without any stay as they are.
+
+    ``size_col``, where there is one, holds the new text's characters for the texts that changed.
+    """
+    carry = [c for c in docs.columns if c not in (id_col, text_col)]
+    done = remove_repeats(docs, window, id_col, text_col, carry=carry, verbatim=True)
+    now = {id_col: F.col(id_col), text_col: F.col("kept")} | {c: F.col(f"c{k}") for k, c in enumerate(carry)}
+    if size_col in carry:
+        now[size_col] = F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(now[size_col])
+    return done.select(*(now[c].cast(docs.schema[c].dataType).alias(c) for c in docs.columns))

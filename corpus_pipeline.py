@@ -1,12 +1,65 @@
-"""Corpus pipeline: quality, exact duplicates, near duplicates, repeated passages, packing."""
+"""Corpus pipeline: quality, exact duplicates, near duplicates, repeated passages, packing.
+
+Each stage takes what the one before kept, written as Parquet; all but the last return the columns
+of ``documents``.  No SQL expresses the stages, so the tests hold them against brute force.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from harrow.llm import exact_dedup, packing, quality, scratch, simhash, substring
+
+#: Near duplicates: five-word shingles in 128 bits.  22 bits apart is an angle of a Jaccard
+#: similarity of about 0.75, so that nearly all pairs at 0.8 and over fall within it.
+SHINGLE, LANES, RADIUS = 5, 2, 22
+BLOCKS, REACH = [(start, 25) for start in range(0, 125, 25)], 2
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the compression classifier scores 0.3 or more."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~quality.held_out(F.col("doc_id")))
+    return quality.keep(docs, quality.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"), labels), threshold=0.3)
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the largest id."""
+    return exact_dedup.drop_exact(docs, keep="max")
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id."""
+    return simhash.drop_near(docs, shingle=SHINGLE, radius=RADIUS, lanes=LANES, blocks=BLOCKS, reach=REACH, link_empty=False)
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages of 13 words or more that a document with a smaller id has too."""
+    scratch.release(spark, "simhash")  # the stage before has been written
+    return substring.drop_repeats(docs, window=13)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 4096 tokens, each in the corpus's mixture of sources."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), length=4096)
+
 
-STAGES = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality_stage),
+    ("exact", exact_stage),
+    ("near", near_stage),
+    ("substring", substring_stage),
+    ("packing", packing_stage),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = scratch.materialize(stage(spark, docs, sf_dir), "pipeline")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -1 +1 @@
-
+"""Whole runs, and the registered queries with their SQL."""

@@ -6,9 +6,10 @@ weight)`` and scores ``(query_id, doc_id, score)``.  Rows that would be zero do
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harrow.functions.text import char_wb_ngrams, word_ngrams
@@ -107,11 +108,11 @@ class TfidfIndex:
         return dot(self.transform(queries, id_col, text), self.postings)
 
 
-def fit_tfidf(docs: DataFrame, id_col: str, text: Column, analyzer: str = "word", low: int = 1, high: int = 2, min_df: int = 1, max_features: int | None = None) -> TfidfIndex:
-    counts = term_counts(docs, id_col, text, analyzer, low, high)
-    vocab = vocabulary(counts, min_df, max_features)
-    idf = smooth_idf(vocab, docs.agg(F.count(id_col).alias("n")))
-    return TfidfIndex(idf, tfidf_postings(counts, idf), analyzer, low, high)
+def fit_tfidf(docs: DataFrame, id_col: str, text: Column, analyzer: str = "word", low: int = 1, high: int = 2, min_df: int = 1, max_features: int | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> TfidfIndex:
+    """``keep`` is applied to what a fitted index holds, for instance to write it."""
+    counts = keep(term_counts(docs, id_col, text, analyzer, low, high))
+    idf = keep(smooth_idf(vocabulary(counts, min_df, max_features), docs.agg(F.count(id_col).alias("n"))))
+    return TfidfIndex(idf, keep(tfidf_postings(counts, idf)), analyzer, low, high)
 
 
 class BM25Index:
@@ -120,9 +121,9 @@ class BM25Index:
     def __init__(self, low: int = 1, high: int = 2, max_features: int | None = 150_000) -> None:
         self.low, self.high, self.max_features, self.fitted = low, high, max_features, None
 
-    def fit(self, docs: DataFrame, id_col: str, text: Column) -> BM25Index:
-        counts = term_counts(docs, id_col, text, "word", self.low, self.high)
-        self.fitted = counts, vocabulary(counts, 1, self.max_features), docs, id_col
+    def fit(self, docs: DataFrame, id_col: str, text: Column, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> BM25Index:
+        counts = keep(term_counts(docs, id_col, text, "word", self.low, self.high))
+        self.fitted = counts, keep(vocabulary(counts, 1, self.max_features)), docs, id_col
         return self
 
     def score(self, queries: DataFrame, id_col: str, text: Column) -> DataFrame:
@@ -182,11 +183,11 @@ class ArticleIndex:
     def __init__(self, fields: list[Field] | None = None) -> None:
         self.fields, self.fitted = FIELDS if fields is None else fields, {}
 
-    def fit(self, articles: DataFrame, id_col: str) -> ArticleIndex:
+    def fit(self, articles: DataFrame, id_col: str, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> ArticleIndex:
         for f in self.fields:
             text = field_text(f)
             self.fitted[f.name] = (
-                BM25Index(f.low, f.high, f.max_features).fit(articles, id_col, text) if f.bm25 else fit_tfidf(articles, id_col, text, f.analyzer, f.low, f.high, f.min_df, f.max_features)
+                BM25Index(f.low, f.high, f.max_features).fit(articles, id_col, text, keep) if f.bm25 else fit_tfidf(articles, id_col, text, f.analyzer, f.low, f.high, f.min_df, f.max_features, keep)
             )
         return self
 
@@ -219,10 +220,10 @@ class QueryFeatureSpace:
     def __init__(self, word_features: int = 50_000, char_features: int = 80_000) -> None:
         self.word_features, self.char_features, self.fitted = word_features, char_features, None
 
-    def fit(self, queries: DataFrame, id_col: str, text: Column) -> QueryFeatureSpace:
+    def fit(self, queries: DataFrame, id_col: str, text: Column, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> QueryFeatureSpace:
         self.fitted = (
-            fit_tfidf(queries, id_col, text, "word", 1, 2, 1, self.word_features),
-            fit_tfidf(queries, id_col, text, "char_wb", 3, 5, 1, self.char_features),
+            fit_tfidf(queries, id_col, text, "word", 1, 2, 1, self.word_features, keep),
+            fit_tfidf(queries, id_col, text, "char_wb", 3, 5, 1, self.char_features, keep),
         )
         return self
 

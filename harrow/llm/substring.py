@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-GRAM = 6
+GRAM = 4
 SHARD_WORDS, CACHE_WORDS, SLICE_CHARS = 60_000, 300_000, 2_000_000
 
 
@@ -125,9 +125,9 @@ def anchors(words: list[bytes], window: int, gram: int = GRAM) -> np.ndarray:
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
-    """A row is known by its id and its text's hash, as ids may repeat; columns to carry along are numbered."""
+    """A row is known by its id and, as ids may repeat, 24 bits of its text's hash; columns to carry along are numbered."""
     return docs.select(
-        F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("t"), *(F.col(c).alias(f"c{k}") for k, c in enumerate(carry))
+        F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).bitwiseAND(0xFFFFFF).alias("key"), F.col(text_col).cast("string").alias("t"), *(F.col(c).alias(f"c{k}") for k, c in enumerate(carry))
     )
 
 
@@ -176,6 +176,8 @@ def _passages(rows: DataFrame, window: int, gram: int) -> DataFrame:
             out = {"anchor": [], "id": [], "key": [], "start": [], "words": []}
             size = 0
             for i, key, t, known in zip(*(batch.column(c).to_pylist() for c in ("id", "key", "t")), batch.column("anchors"), strict=True):
+                if not known.is_valid:
+                    continue
                 words = t.encode().split()
                 found = anchors(words, window, gram)
                 hit = np.isin(found, known.values.to_numpy().view(np.uint64))
@@ -232,7 +234,9 @@ def repeated_spans(rows: DataFrame, window: int, gram: int = GRAM, shard_words:
     """Spans ``(id, key, a, b)`` of words that a smaller id has too; spans of a row may overlap."""
     hits = _anchor_rows(rows, window, gram).repartition("anchor").sortWithinPartitions("anchor", "id").mapInArrow(shared, "anchor long, id long, key long")
     by_row = hits.groupBy("id", "key").agg(F.collect_list("anchor").alias("anchors"))
-    passages = _passages(rows.join(by_row, ["id", "key"], "left").where("anchors IS NOT NULL"), window, gram)
+    # The same left join as the last step's, so that Spark deals the texts out once and reads them twice.
+    met = rows.join(by_row, ["id", "key"], "left").withColumn("t", F.when(F.col("anchors").isNotNull(), F.col("t")))
+    passages = _passages(met, window, gram)
     return passages.repartition("anchor").sortWithinPartitions("anchor", "id").mapInArrow(_match(window, shard_words), "id long, key long, a long, b long")
 
 

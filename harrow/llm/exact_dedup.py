@@ -60,8 +60,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
     """The rows of ``docs`` that stay, with their columns: one of each group, also of rows that repeat an id and text."""
-    groups = exact_groups(docs, id_col, text_col, keep).where("kept").select(F.col(id_col).alias("__kept_id"), F.unhex("text_sha256").alias("__kept_digest"))
-    rows = docs.withColumns({"__id": F.col(id_col), "__digest": text_digest(F.col(text_col))})
-    left = rows.join(groups, F.col("__id").eqNullSafe(F.col("__kept_id")) & (F.col("__digest") == F.col("__kept_digest")), "left_semi")
-    one = Window.partitionBy("__id", "__digest").orderBy(F.lit(0))  # as the join left the rows: no further exchange
-    return left.withColumn("__row", F.row_number().over(one)).where("__row = 1").select(*[docs[c] for c in docs.columns])
+    groups = exact_groups(docs, id_col, text_col, keep).where("kept").select(F.col(id_col).alias("kept_id"), F.unhex("text_sha256").alias("kept_digest"))
+    # The columns go along as one, so that no name can clash.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), text_digest(F.col(text_col)).alias("digest"))
+    left = rows.join(groups, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_digest")), "left_semi")
+    one = Window.partitionBy("id", "digest").orderBy(F.lit(0))  # as the join left the rows: no further exchange
+    return left.withColumn("nth", F.row_number().over(one)).where("nth = 1").select("row.*")

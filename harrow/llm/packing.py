@@ -180,6 +180,8 @@ def pack(
     order = Window.partitionBy("queue").orderBy("task", "source")
     # The common queue holds its sources one after the other within a task.
     starts = counts.withColumn("queue", queue).withColumn("start_at", F.sum("n").over(order) - F.col("n")).select("source", "task", "queue", "start_at")
+    # Written, so that its size is known when the join is planned: small, it is broadcast, and ids do not move.
+    starts = scratch.materialize(starts, "packing")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

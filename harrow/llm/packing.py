@@ -14,9 +14,12 @@ a task and queue are gathered, and where a document's ids fall follows from them
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from fractions import Fraction
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +31,10 @@ from harrow.llm import scratch
 LENGTH, END_ID = 4096, 2
 #: Queues of their own for the largest sources; all others share one more.
 MAX_QUEUES = 128
-SLICE_CHARS, CACHE_WORDS = 2_000_000, 300_000
+SLICE_CHARS, CACHE_WORDS = 2_000_000, 600_000
+#: A run of ASCII marks after a letter or digit that no other mark can continue; marks that join a letter.
+MARKS = re.compile(rb"(?<=[a-z0-9])([!-&(-/:-@\[-`{-~]++)(?![\x80-\xff'])")
+COMBINING = re.compile("[\u0300-\u036f]")
 
 _tokenizers: dict[str, tuple[object, dict[bytes, bytes]]] = {}
 
@@ -37,7 +43,9 @@ def tokenize(path: str, texts: list[str]) -> list[bytes]:
     """Ids of each text, little-endian 32-bit, as the tokenizers library gives them without special tokens.
 
     The vocabulary's words never span ASCII white space, which is dropped, so each distinct run of
-    other characters is encoded once; texts that may hold special tokens are encoded whole.
+    other characters is encoded once; texts that may hold special tokens are encoded whole.  The
+    tokenizer splits letters from marks and folds case, so marks after an ASCII letter or digit are
+    set apart and A-Z lower-cased first (unless a combining mark could join a letter before that).
     """
     if path not in _tokenizers:
         import os
@@ -49,17 +57,22 @@ def tokenize(path: str, texts: list[str]) -> list[bytes]:
     tokenizer, known = _tokenizers[path]
 
     def encoded(items: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(items, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(items, add_special_tokens=False)]
 
-    special = [t for t in tokenizer.get_added_tokens_decoder().values()]
-    marks = [t.content for t in special]
-    split = [None if any(m in t for m in marks) else t.encode().split() for t in texts]
+    def words(text: str) -> list[bytes]:
+        data = text.encode()
+        return data.split() if COMBINING.search(text) else MARKS.sub(rb" \1 ", data.lower()).split()
+
+    marks = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    split = [None if any(m in t for m in marks) else words(t) for t in texts]
     seen = set().union(*(s for s in split if s is not None))
-    fresh = [w for w in seen if w not in known]
-    if len(known) + len(fresh) > CACHE_WORDS:
+    if len(known) > CACHE_WORDS:  # what was not used lately goes first
+        recent = list(known.items())[-CACHE_WORDS // 2 :]
         kept = {w: known[w] for w in seen if w in known}
         known.clear()
+        known.update(recent)
         known.update(kept)
+    fresh = [w for w in seen if w not in known]
     for a in range(0, len(fresh), 20_000):
         known.update(zip(fresh[a : a + 20_000], encoded([w.decode() for w in fresh[a : a + 20_000]]), strict=True))
     return [encoded([t])[0] if s is None else b"".join([known[w] for w in s]) for t, s in zip(texts, split, strict=True)]
@@ -117,10 +130,10 @@ class Schedule:
             step = min((self.totals[i] - given[i]) / rate[i] for i in open_)
             given = [g + r * step for g, r in zip(given, rate, strict=True)]
             at, open_ = at + step, [i for i in open_ if given[i] < self.totals[i]]
-        self._known: dict[int, np.ndarray] = {}
+        self._known: dict[int, tuple[list[int], list[int]]] = {}
 
-    def served(self, window: int) -> np.ndarray:
-        """Tokens of each queue in the windows before ``window``."""
+    def served(self, window: int) -> tuple[list[int], list[int]]:
+        """Tokens of each queue in the windows before ``window``, and of all queues before each."""
         if window not in self._known:
             if len(self._known) > 50_000:
                 self._known.clear()
@@ -131,7 +144,7 @@ class Schedule:
             spare = tokens - sum(out)
             for i in sorted(range(len(due)), key=lambda i: (out[i] - due[i], i))[:spare]:
                 out[i] += 1
-            self._known[window] = np.array(out, dtype=np.int64)
+            self._known[window] = out, list(accumulate(out, initial=0))
         return self._known[window]
 
     def window_of(self, queue: int, token: int) -> int:
@@ -140,9 +153,9 @@ class Schedule:
         at, given, rate = next(p for p in reversed(self.phases) if p[1][queue] <= token and p[2][queue])
         guess = int((at + (token - given[queue]) / rate[queue]) // self.length)
         low, high = max(low, guess - 2), min(high, guess + 3)
-        while self.served(low)[queue] > token:
+        while self.served(low)[0][queue] > token:
             low -= 1
-        while low + 1 < high and self.served(low + 1)[queue] <= token:
+        while low + 1 < high and self.served(low + 1)[0][queue] <= token:
             low += 1
         return low
 
@@ -189,11 +202,11 @@ def pack(
             for k, (ids, n, q, at) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("ids", "n_tokens", "queue", "at")), strict=True)):
                 window, start = schedule.window_of(q, at), 0
                 while start < n:
-                    before, after = schedule.served(window), schedule.served(window + 1)
-                    take = min(n - start, int(after[q]) - at - start)
+                    (before, lower), (after, upper) = schedule.served(window), schedule.served(window + 1)
+                    take = min(n - start, after[q] - at - start)
                     if take > 0:
                         piece = ids[4 * start : 4 * (start + take)]
-                        offset = int((after[:q] - before[:q]).sum()) + at + start - int(before[q])
+                        offset = upper[q] - lower[q] + at + start - before[q]
                         for key, value in zip(out, (k, start, take, zlib.crc32(piece), window, offset, piece if with_ids else None), strict=True):
                             out[key].append(value)
                         start += take

@@ -27,11 +27,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from harrow.llm import scratch
+from harrow.llm.memory import released
 
 LENGTH, END_ID = 4096, 2
 #: Queues of their own for the largest sources; all others share one more.
 MAX_QUEUES = 128
-SLICE_CHARS, CACHE_WORDS = 2_000_000, 600_000
+SLICE_CHARS, CACHE_WORDS = 1_000_000, 350_000
 #: A run of ASCII marks after a letter or digit that no other mark can continue; marks that join a letter.
 MARKS = re.compile(rb"(?<=[a-z0-9])([!-&(-/:-@\[-`{-~]++)(?![\x80-\xff'])")
 COMBINING = re.compile("[\u0300-\u036f]")
@@ -105,7 +106,7 @@ def token_rows(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str,
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.col(text_col).cast("string").alias("t"))
-    return rows.mapInArrow(run, f"id {kind}, source string, ids binary, n_tokens long, task int, before long")
+    return rows.mapInArrow(released(run), f"id {kind}, source string, ids binary, n_tokens long, task int, before long")
 
 
 class Schedule:
@@ -220,4 +221,4 @@ def pack(
     placed = rows.join(starts, ["source", "task"]).select("id", "source", "ids", "n_tokens", "queue", (F.col("start_at") + F.col("before")).alias("at"))
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids binary" if with_ids else "")
-    return placed.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return placed.mapInArrow(released(run), schema).withColumnRenamed("id", id_col)

@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 
 from harrow.llm import scratch
 from harrow.llm.components import components
+from harrow.llm.memory import released
 
-SLICE_WORDS = 400_000
+SLICE_WORDS = 100_000
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Collisions are compared in blocks of so many rows at once.
 TILE = 1024
@@ -79,7 +80,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * lanes), pa.array(fps.view(np.int64)))], names=["id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"id {kind}, fp array<long>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(released(run), f"id {kind}, fp array<long>")
 
 
 def masks(bits: int, radius: int) -> np.ndarray:
@@ -200,8 +201,8 @@ def near_links(unique: DataFrame, radius: int, blocks: list[tuple[int, int]], re
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     fields = ", ".join(f"f{k} long" for k in range(lanes))
-    keyed = unique.mapInArrow(emit, f"key long, node long, {fields}")
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long")
+    keyed = unique.mapInArrow(released(emit), f"key long, node long, {fields}")
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(released(meet), "a long, b long")
 
 
 def group_near(
@@ -237,4 +238,4 @@ def group_near(
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns: the smallest id of each group; rows without id stay."""
     dropped = group_near(docs, id_col, text_col, **settings).where(f"`{id_col}` <> component").select(F.col(id_col).alias("__dropped")).distinct()
-    return docs.join(dropped, docs[id_col] == F.col("__dropped"), "left_anti")
+    return docs.join(dropped, docs[id_col] == dropped["__dropped"], "left_anti")

@@ -24,8 +24,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from harrow.llm.memory import released
+
 GRAM = 4
-SHARD_WORDS, CACHE_WORDS, SLICE_CHARS = 60_000, 300_000, 2_000_000
+SHARD_WORDS, CACHE_WORDS = 60_000, 200_000
 
 
 class Automaton:
@@ -146,7 +148,7 @@ def _anchor_rows(rows: DataFrame, window: int, gram: int) -> DataFrame:
             for s in range(0, len(anchor), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(x[s : s + 100_000]) for x in (anchor, ids, keys)], names=["anchor", "id", "key"])
 
-    return rows.where("id IS NOT NULL").select("id", "t", "key").mapInArrow(run, "anchor long, id long, key long")
+    return rows.where("id IS NOT NULL").select("id", "t", "key").mapInArrow(released(run, "harrow.llm.substring._hashes"), "anchor long, id long, key long")
 
 
 def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +204,7 @@ def _passages(rows: DataFrame, window: int, gram: int) -> DataFrame:
             v.clear()
         return batch
 
-    return rows.mapInArrow(run, "anchor long, id long, key long, start long, words binary")
+    return rows.mapInArrow(released(run, "harrow.llm.substring._hashes"), "anchor long, id long, key long, start long, words binary")
 
 
 def _match(window: int, shard_words: int):
@@ -237,7 +239,7 @@ def repeated_spans(rows: DataFrame, window: int, gram: int = GRAM, shard_words:
     # The same left join as the last step's, so that Spark deals the texts out once and reads them twice.
     met = rows.join(by_row, ["id", "key"], "left").withColumn("t", F.when(F.col("anchors").isNotNull(), F.col("t")))
     passages = _passages(met, window, gram)
-    return passages.repartition("anchor").sortWithinPartitions("anchor", "id").mapInArrow(_match(window, shard_words), "id long, key long, a long, b long")
+    return passages.repartition("anchor").sortWithinPartitions("anchor", "id").mapInArrow(released(_match(window, shard_words)), "id long, key long, a long, b long")
 
 
 def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, carry: list[str] | None = None, verbatim: bool = False) -> DataFrame:
@@ -272,7 +274,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
 
     marked = rows.join(spans, ["id", "key"], "left").select("id", "t", "spans", *carried)
     types = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in carried)
-    return marked.mapInArrow(run, f"id long, n_words long, n_removed long, kept string{types}").withColumnRenamed("id", id_col)
+    return marked.mapInArrow(released(run), f"id long, n_words long, n_removed long, kept string{types}").withColumnRenamed("id", id_col)
 
 
 def drop_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:

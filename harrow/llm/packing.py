@@ -15,6 +15,7 @@ a task and queue are gathered, and where a document's ids fall follows from them
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -37,7 +38,30 @@ SLICE_CHARS, CACHE_WORDS = 1_000_000, 350_000
 MARKS = re.compile(rb"(?<=[a-z0-9])([!-&(-/:-@\[-`{-~]++)(?![\x80-\xff'])")
 COMBINING = re.compile("[\u0300-\u036f]")
 
-_tokenizers: dict[str, tuple[object, dict[bytes, bytes]]] = {}
+_tokenizers: dict[str, tuple[object, dict[bytes, bytes], np.ndarray]] = {}
+
+
+def _encode_words(tokenizer, ends: np.ndarray, words: list[bytes]) -> list[bytes]:
+    """Ids of words without white space.
+
+    A run of letters is one word to the tokenizer and its last id ends a word, so many such runs are
+    encoded as one text and cut apart after each word's end; the others are encoded one by one.
+    """
+    out: dict[int, bytes] = {}
+    texts = [w.decode() for w in words]
+    whole = [i for i, t in enumerate(texts) if t.isalpha() and t == t.lower() and (t.isascii() or unicodedata.is_normalized("NFC", t))]
+    for a in range(0, len(whole), 4000):
+        part = whole[a : a + 4000]
+        ids = np.array(tokenizer.encode_batch_fast([" ".join([texts[i] for i in part])], add_special_tokens=False)[0].ids, dtype="<u4")
+        cuts = np.flatnonzero(ends[ids]) + 1
+        if len(cuts) == len(part):
+            flat, stops = ids.tobytes(), (cuts * 4).tolist()
+            out.update(zip(part, map(flat.__getitem__, map(slice, [0, *stops[:-1]], stops)), strict=True))
+    rest = [i for i in range(len(texts)) if i not in out]
+    for a in range(0, len(rest), 20_000):
+        coded = tokenizer.encode_batch_fast([texts[i] for i in rest[a : a + 20_000]], add_special_tokens=False)
+        out.update(zip(rest[a : a + 20_000], [array("I", e.ids).tobytes() for e in coded], strict=True))
+    return [out[i] for i in range(len(texts))]
 
 
 def tokenize(path: str, texts: list[str]) -> list[bytes]:
@@ -54,11 +78,11 @@ def tokenize(path: str, texts: list[str]) -> list[bytes]:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _tokenizers[path] = (Tokenizer.from_file(path), {})
-    tokenizer, known = _tokenizers[path]
-
-    def encoded(items: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(items, add_special_tokens=False)]
+        tokenizer = Tokenizer.from_file(path)
+        ends = np.zeros(tokenizer.get_vocab_size(), dtype=bool)
+        ends[[i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        _tokenizers[path] = tokenizer, {}, ends
+    tokenizer, known, ends = _tokenizers[path]
 
     def words(text: str) -> list[bytes]:
         data = text.encode()
@@ -74,9 +98,9 @@ def tokenize(path: str, texts: list[str]) -> list[bytes]:
         known.update(recent)
         known.update(kept)
     fresh = [w for w in seen if w not in known]
-    for a in range(0, len(fresh), 20_000):
-        known.update(zip(fresh[a : a + 20_000], encoded([w.decode() for w in fresh[a : a + 20_000]]), strict=True))
-    return [encoded([t])[0] if s is None else b"".join([known[w] for w in s]) for t, s in zip(texts, split, strict=True)]
+    known.update(zip(fresh, _encode_words(tokenizer, ends, fresh), strict=True))
+    whole = lambda t: array("I", tokenizer.encode(t, add_special_tokens=False).ids).tobytes()
+    return [whole(t) if s is None else b"".join(map(known.__getitem__, s)) for t, s in zip(texts, split, strict=True)]
 
 
 def token_rows(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, source_col: str) -> DataFrame:

@@ -5,7 +5,12 @@ reference points in order, and stands in the inverted list of each, list by list
 Two vectors of a list are candidates if they share enough reference points; each such pair is taken
 up once, in the list of the first point they share, and verified by cosine in double precision.
 
-There are about ``4 * sqrt(vectors)`` points, so lists grow much slower than the table.  A list of
+Reference points lie at least ``COVER`` apart, so a dense group has few of its own.  A vector within
+``COVER`` of a point is covered: whatever links with it lies within ``COVER`` and the link's angle of
+that point, by the triangle inequality.  So every vector stands in the lists of all points that near,
+covered ones in no others, and all pairs with a covered vector are verified: none of their links is lost.
+
+There are at most about ``4 * sqrt(vectors)`` points, so lists grow much slower than the table.  A list of
 more than ``LIST_ROWS`` rows is dealt into cells of two parts each, which bounds what a task holds
 however many near copies one vector has.  Tasks return degrees and the links of a forest, not pairs.
 """
@@ -24,6 +29,8 @@ from harrow.llm.components import components
 from harrow.llm.simhash import Forest
 
 MAX_PIVOTS, LIST_ROWS, TILE = 16_384, 2048, 512
+#: Reference points are further apart than this angle (a cosine of 0.85).
+COVER = float(np.arccos(0.85))
 
 
 def _usable(vector: str, label: str, id_col: str):
@@ -37,30 +44,48 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
+def _apart(points: np.ndarray, n: int) -> np.ndarray:
+    """The first ``n`` rows that are further than ``COVER`` from every row taken before."""
+    free, taken = np.ones(len(points), dtype=bool), []
+    while len(taken) < n and free.any():
+        taken.append(int(np.argmax(free)))
+        free &= points @ points[taken[-1]] < np.cos(COVER)
+        free[taken[-1]] = False
+    return points[taken]
+
+
 def pivots(unique: DataFrame, n: int) -> dict[int, np.ndarray]:
-    """Unit reference points by dimension: the vectors with the smallest hash, at most ``MAX_PIVOTS``."""
+    """Unit reference points by dimension: at most ``n`` of the vectors with the smallest hash, which are at most ``MAX_PIVOTS``."""
     by_size: dict[int, list] = {}
-    for r in unique.orderBy(F.xxhash64("node"), "node").select("v").limit(min(n, MAX_PIVOTS)).collect():
+    for r in unique.orderBy(F.xxhash64("node"), "node").select("v").limit(min(2 * n, MAX_PIVOTS)).collect():
         by_size.setdefault(len(r["v"]), []).append(r["v"])
-    return {d: _unit(np.array(v, dtype=float)) for d, v in by_size.items()}
+    return {d: _apart(_unit(np.array(v, dtype=float)), n) for d, v in by_size.items()}
 
 
-def describe(unique: DataFrame, points: dict[int, np.ndarray], nearest: int) -> DataFrame:
-    """Add ``perm``: the ids of the nearest reference points, nearest first; a dimension without any has one list."""
+def describe(unique: DataFrame, points: dict[int, np.ndarray], nearest: int, least: float) -> DataFrame:
+    """Add ``perm``, the ids of the reference points in whose lists a row stands, nearest first, and ``covered``.
+
+    Those are the points within reach of a link, and for rows that are not covered the ``nearest`` at
+    least; a dimension without any point has one list.
+    """
+    # Slightly wide, so that rounding loses nothing.
+    reach = np.cos(min(np.pi, COVER + np.arccos(np.clip(least, -1, 1)))) - 1e-9
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vectors = batch.column("v").to_pylist()
             perm: list[list[int]] = [[-1]] * len(vectors)
+            covered = [False] * len(vectors)
             for d, known in points.items():
                 at = [i for i, v in enumerate(vectors) if len(v) == d]
                 for s in range(0, len(at), 1000):
                     near = _unit(np.array([vectors[i] for i in at[s : s + 1000]], dtype=float)) @ known.T
-                    for i, p in zip(at[s : s + 1000], np.argsort(-near, axis=1, kind="stable")[:, :nearest].tolist(), strict=True):
-                        perm[i] = p
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(perm, pa.list_(pa.int32()))], names=[*batch.schema.names, "perm"])
+                    order, within, close = np.argsort(-near, axis=1, kind="stable"), (near >= reach).sum(axis=1), near.max(axis=1) >= np.cos(COVER)
+                    for i, p, k, c in zip(at[s : s + 1000], order, within.tolist(), close.tolist(), strict=True):
+                        perm[i], covered[i] = p[: k if c else max(k, nearest)].tolist(), c
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(perm, pa.list_(pa.int32())), pa.array(covered, pa.bool_())], names=[*batch.schema.names, "perm", "covered"])
 
-    return unique.mapInArrow(run, "label string, v array<double>, node long, copies long, perm array<int>")
+    return unique.mapInArrow(run, "label string, v array<double>, node long, copies long, perm array<int>, covered boolean")
 
 
 class _Found:
@@ -74,7 +99,9 @@ class _Found:
             v, node, copies = _unit(np.array([r[1] for r in own], dtype=float)), [r[0] for r in own], [r[2] for r in own]
             width = max(len(r[3]) for r in own)
             perm = np.array([r[3] + [-2 - i] * (width - len(r[3])) for i, r in enumerate(own)])
-            part = np.array([r[4] for r in own])
+            part, covered = np.array([r[4] for r in own]), np.array([r[5] for r in own])
+            node, copies, degree, root = np.array(node), np.array(copies), np.zeros(len(own), dtype=np.int64), np.arange(len(own))
+            step = max(1, 5_000_000 // width**2)
             for a in range(0, len(own), TILE):
                 for b in range(a, len(own), TILE):
                     near = v[a : a + TILE] @ v[b : b + TILE].T >= least
@@ -82,22 +109,38 @@ class _Found:
                     x, y = x + a, y + b
                     if cross:
                         x, y = x[part[x] != part[y]], y[part[x] != part[y]]
-                    for s in range(0, len(x), 100_000):
-                        self._pairs(x[s : s + 100_000], y[s : s + 100_000], perm, pivot, shared, node, copies)
-
-    def _pairs(self, x, y, perm, pivot, shared, node, copies) -> None:
+                    for s in range(0, len(x), step):
+                        ok = self._ours(x[s : s + step], y[s : s + step], perm, covered, pivot, shared, node)
+                        i, j = x[s : s + step][ok], y[s : s + step][ok]
+                        degree += np.bincount(i, copies[j], len(own)).astype(np.int64) + np.bincount(j, copies[i], len(own)).astype(np.int64)
+                        self._join(i, j, root, node)
+            at = np.flatnonzero(degree)
+            for k, n in zip(node[at].tolist(), degree[at].tolist(), strict=True):
+                self.degree[k] = self.degree.get(k, 0) + n
+
+    def _join(self, i: np.ndarray, j: np.ndarray, root: np.ndarray, node: np.ndarray) -> None:
+        """Join the pairs' rows; ``root`` tells which rows of the cell are joined already, so that few pairs of a dense cell are looked at."""
+        while len(i):
+            apart = root[i] != root[j]
+            i, j = i[apart], j[apart]
+            # One pair for each row, then the roots are brought up to date.
+            _, first = np.unique(i, return_index=True)
+            for a, b in zip(i[first].tolist(), j[first].tolist(), strict=True):
+                self.forest.join(int(node[a]), int(node[b]))
+                low, high = sorted((root[a], root[b]))
+                if low != high:
+                    root[root == high] = low
+
+    def _ours(self, x, y, perm, covered, pivot, shared, node) -> np.ndarray:
+        """Which pairs are candidates and meet first in this list."""
         same = (perm[x][:, :, None] == perm[y][:, None, :]).any(axis=2)
-        enough = min(shared, perm.shape[1])
+        enough = np.where(covered[x] | covered[y], 1, min(shared, perm.shape[1]))
         first = perm[x, np.argmax(same, axis=1)]
         # The first shared point in the order of the smaller node, which both lists agree on.
-        swap = np.array(node)[x] > np.array(node)[y]
+        swap = node[x] > node[y]
         other = (perm[y][:, :, None] == perm[x][:, None, :]).any(axis=2)
         first = np.where(swap, perm[y, np.argmax(other, axis=1)], first)
-        ok = (same.sum(axis=1) >= enough) & (first == pivot)
-        for i, j in zip(x[ok].tolist(), y[ok].tolist(), strict=True):
-            self.degree[node[i]] = self.degree.get(node[i], 0) + copies[j]
-            self.degree[node[j]] = self.degree.get(node[j], 0) + copies[i]
-            self.forest.join(node[i], node[j])
+        return (same.sum(axis=1) >= enough) & (first == pivot)
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         out = [(a, b, None) for a, b in self.forest.links] + [(k, None, n) for k, n in self.degree.items()]
@@ -111,12 +154,12 @@ def _verify(least: float, shared: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, key, held = _Found(), None, []
         for batch in batches:
-            for label, pivot, low, high, node, v, copies, perm, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for label, pivot, low, high, node, v, copies, perm, part, covered in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (label, pivot, low, high) != key:
                     if len(held) > 1:
                         found.add(key[1], key[2] != key[3], held, least, shared)
                     key, held = (label, pivot, low, high), []
-                held.append((node, v, copies, perm, part))
+                held.append((node, v, copies, perm, part, covered))
             if len(found.degree) > 200_000:
                 yield from found.rows()
         if len(held) > 1:
@@ -146,12 +189,12 @@ def group_vectors(
     unique = scratch.checkpointed(rows.where("v IS NOT NULL").groupBy("label", "v").agg(F.min("id").alias("node"), F.count("*").alias("copies")))
     n = unique.count()
     points = pivots(unique, max(16, int(4 * n**0.5)))
-    entries = scratch.materialize(describe(unique, points, nearest), "vectors")
+    entries = scratch.materialize(describe(unique, points, nearest, least), "vectors")
     posted = entries.withColumn("pivot", F.explode("perm"))
     sizes = entries.select("label", F.explode("perm").alias("pivot")).groupBy("label", "pivot").agg(F.ceil(F.count("*") / F.lit(LIST_ROWS)).cast("int").alias("parts"))
     posted = posted.join(sizes, ["label", "pivot"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     cells = posted.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cells = cells.select("label", "pivot", F.least("part", "with").alias("low"), F.greatest("part", "with").alias("high"), "node", "v", "copies", "perm", "part")
+    cells = cells.select("label", "pivot", F.least("part", "with").alias("low"), F.greatest("part", "with").alias("high"), "node", "v", "copies", "perm", "part", "covered")
     keys = ["label", "pivot", "low", "high"]
     found = scratch.materialize(cells.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_verify(least, shared), "a long, b long, n long"), "vectors")
     groups = components(found.where("b IS NOT NULL").select("a", "b"))

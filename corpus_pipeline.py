@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from harrow.llm import exact_dedup, packing, quality, scratch, simhash, substring
 
 #: Near duplicates: five-word shingles in 128 bits.  22 bits apart is an angle of a Jaccard
-#: similarity of about 0.75, so that nearly all pairs at 0.8 and over fall within it.
+#: similarity of about 0.75.  Eight blocks cover all bits, and two fingerprints at most 22 apart differ
+#: by at most 2 in one of them, so every pair within the radius meets.
 SHINGLE, LANES, RADIUS = 5, 2, 22
-BLOCKS, REACH = [(start, 25) for start in range(0, 125, 25)], 2
+BLOCKS, REACH = [(start, 16) for start in range(0, 128, 16)], 2
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

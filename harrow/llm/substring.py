@@ -10,8 +10,13 @@ others go, by anchor, to the shards.  A shard reads its passages in order of doc
 through the suffix automaton of the words it has read from smaller documents, which gives the length
 of the longest match ending at every word (the matching statistics); spans of ``window`` words or
 more are reported, and then the passage itself enters the automaton.  An automaton starts afresh at
-an anchor once it holds ``SHARD_WORDS`` words, so its memory is bounded; nothing is lost by that, as
-windows of different anchors differ.  Words are compared as bytes: the result is exact.
+an anchor once it holds ``SHARD_WORDS`` words; nothing is lost by that, as windows of different
+anchors differ.  Words are compared as bytes: the result is exact.
+
+A passage that very many documents repeat would be one shard's work.  So of the equal passages that
+a task reads it sends on only those of its smallest identifier; the others are known to be repeated
+whole, and their spans go past the automata, dealt by document.  Of an anchor's rows, too, a task sends
+on the first and the last document, and tells of those between that they share the anchor.
 """
 
 from __future__ import annotations
@@ -28,6 +33,8 @@ from harrow.llm.memory import released
 
 GRAM = 4
 SHARD_WORDS, CACHE_WORDS = 60_000, 200_000
+#: Rows of anchors and bytes of passages among which a task looks for equal ones before it sends them on.
+HELD_ROWS, HELD_BYTES = 400_000, 24 << 20
 
 
 class Automaton:
@@ -127,34 +134,65 @@ def anchors(words: list[bytes], window: int, gram: int = GRAM) -> np.ndarray:
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
-    """A row is known by its id and, as ids may repeat, 24 bits of its text's hash; columns to carry along are numbered."""
+    """A row is known by its id and, as ids may repeat, its text's hash; columns to carry along are numbered."""
     return docs.select(
-        F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).bitwiseAND(0xFFFFFF).alias("key"), F.col(text_col).cast("string").alias("t"), *(F.col(c).alias(f"c{k}") for k, c in enumerate(carry))
+        F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("t"), *(F.col(c).alias(f"c{k}") for k, c in enumerate(carry))
     )
 
 
+def _dealt(ids: np.ndarray) -> np.ndarray:
+    """Where rows go that no shard has to see: spread by id."""
+    with np.errstate(over="ignore"):
+        return (ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+
+
+def _known_shared(anchor: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which rows need not meet others: an anchor's rows between its first and its last, if those differ in id.
+
+    Rows come in order of anchor and id.
+    """
+    new = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+    end = np.append(new[1:], len(anchor)) - 1
+    known = np.repeat(ids[new] != ids[end], end - new + 1)
+    known[new] = known[end] = False
+    return known
+
+
 def _anchor_rows(rows: DataFrame, window: int, gram: int) -> DataFrame:
+    def flush(found: list[np.ndarray], ids: list[np.ndarray], keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        anchor, ids, keys = (np.concatenate(x) for x in (found, ids, keys))
+        order, known = np.lexsort((ids, anchor)), np.empty(len(anchor), dtype=bool)
+        known[order] = _known_shared(anchor[order], ids[order])
+        for s in range(0, len(anchor), 100_000):  # a document's rows one after the other: shuffled, they then compress well
+            yield pa.RecordBatch.from_arrays([pa.array(x[s : s + 100_000]) for x in (anchor, ids, keys, known)], names=["anchor", "id", "key", "known"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, owner, keys, size = [], [], [], 0
         for batch in batches:
-            found, owner = [], []
+            ids, key = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             for k, t in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
                 if t and len(own := np.unique(anchors(t.split(), window, gram))):
-                    found.append(own)
-                    owner.append(np.full(len(own), k))
-            if not found:
-                continue
-            anchor, k = np.concatenate(found).view(np.int64), np.concatenate(owner)
-            ids, keys = batch.column(0).to_numpy()[k], batch.column(2).to_numpy()[k]
-            for s in range(0, len(anchor), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[s : s + 100_000]) for x in (anchor, ids, keys)], names=["anchor", "id", "key"])
+                    found.append(own.view(np.int64))
+                    owner.append(np.full(len(own), ids[k]))
+                    keys.append(np.full(len(own), key[k]))
+                    size += len(own)
+                    if size > HELD_ROWS:
+                        yield from flush(found, owner, keys)
+                        found, owner, keys, size = [], [], [], 0
+        if size:
+            yield from flush(found, owner, keys)
 
-    return rows.where("id IS NOT NULL").select("id", "t", "key").mapInArrow(released(run, "harrow.llm.substring._hashes"), "anchor long, id long, key long")
+    return rows.where("id IS NOT NULL").select("id", "t", "key").mapInArrow(released(run, "harrow.llm.substring._hashes"), "anchor long, id long, key long, known boolean")
 
 
 def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by anchor and id, those whose anchor several ids have."""
+    """Of rows sorted by anchor and id, those whose anchor is known to be shared, or that several ids have."""
     held = None  # the last anchor's only row so far, or the anchor once it is known to be shared
     for batch in batches:
+        known = batch.column(3).to_numpy(zero_copy_only=False)
+        if known.any():
+            yield batch.filter(batch.column(3)).select(["anchor", "id", "key"])
+        batch = batch.filter(pa.array(~known)).select(["anchor", "id", "key"])
         if not batch.num_rows:
             continue
         if held is not None and held[1] is not None and batch.column(0)[0].as_py() == held[0]:
@@ -170,13 +208,46 @@ def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(keep))
 
 
+class _Passages:
+    """Passages on their way to the shards: of equal ones those of the smallest id, and where the others are."""
+
+    def __init__(self) -> None:
+        self.first: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
+        self.whole: list[tuple[int, int, int, int]] = []
+        self.size = 0
+
+    def add(self, anchor: int, row: int, key: int, start: int, words: bytes, n: int) -> None:
+        held = self.first.get((anchor, words))
+        if held is None:
+            self.first[anchor, words] = [(row, key, start)]
+            self.size += len(words) + 200
+        elif row == held[0][0]:  # a document does not count against itself
+            held.append((row, key, start))
+        elif row > held[0][0]:
+            self.whole.append((row, key, start, n))
+        else:
+            self.whole += [(*h, n) for h in held]
+            held[:] = [(row, key, start)]
+        self.size += 80
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        rows = [(a, *h, w) for (a, w), held in self.first.items() for h in held]
+        names = ["deal", "id", "key", "start", "words", "n"]
+        for s in range(0, len(rows), 20_000):
+            deal, ids, keys, starts, words = zip(*rows[s : s + 20_000], strict=True)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (deal, ids, keys, starts)), pa.array(words, pa.binary()), pa.nulls(len(ids), pa.int64())], names=names)
+        for s in range(0, len(self.whole), 100_000):
+            ids, keys, starts, n = (np.array(x, dtype=np.int64) for x in zip(*self.whole[s : s + 100_000], strict=True))
+            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (_dealt(ids), ids, keys, starts)), pa.nulls(len(ids), pa.binary()), pa.array(n)], names=names)
+        self.__init__()
+
+
 def _passages(rows: DataFrame, window: int, gram: int) -> DataFrame:
-    """Passages ``(anchor, id, key, start, words)`` around the anchors a row has in ``anchors``."""
+    """Passages ``(deal, id, key, start, words)`` around the anchors a row has in ``anchors``, and spans ``(.., start, null, n)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Passages()
         for batch in batches:
-            out = {"anchor": [], "id": [], "key": [], "start": [], "words": []}
-            size = 0
             for i, key, t, known in zip(*(batch.column(c).to_pylist() for c in ("id", "key", "t")), batch.column("anchors"), strict=True):
                 if not known.is_valid:
                     continue
@@ -186,25 +257,13 @@ def _passages(rows: DataFrame, window: int, gram: int) -> DataFrame:
                 starts = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
                 ends = np.append(starts[1:], len(found))
                 chosen = hit[starts]
-                for a, b in zip(starts[chosen].tolist(), ends[chosen].tolist(), strict=True):
-                    out["words"].append(b" ".join(words[a : b + window - 1]))
-                    size += len(out["words"][-1])
-                out["start"] += starts[chosen].tolist()
-                out["anchor"] += found[starts[chosen]].view(np.int64).tolist()
-                out["id"] += [i] * int(chosen.sum())
-                out["key"] += [key] * int(chosen.sum())
-                if size > 8 << 20:
-                    yield flush(out)
-                    size = 0
-            yield flush(out)
-
-    def flush(out: dict[str, list]) -> pa.RecordBatch:
-        batch = pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if c == "words" else pa.int64()) for c, v in out.items()], names=list(out))
-        for v in out.values():
-            v.clear()
-        return batch
-
-    return rows.mapInArrow(released(run, "harrow.llm.substring._hashes"), "anchor long, id long, key long, start long, words binary")
+                for anchor, a, b in zip(found[starts[chosen]].view(np.int64).tolist(), starts[chosen].tolist(), ends[chosen].tolist(), strict=True):
+                    out.add(anchor, i, key, a, b" ".join(words[a : b + window - 1]), b + window - 1 - a)
+                if out.size > HELD_BYTES:
+                    yield from out.flush()
+        yield from out.flush()
+
+    return rows.mapInArrow(released(run, "harrow.llm.substring._hashes"), "deal long, id long, key long, start long, words binary, n long")
 
 
 def _match(window: int, shard_words: int):
@@ -213,7 +272,10 @@ def _match(window: int, shard_words: int):
         waiting: list[list[bytes]] = []
         for batch in batches:
             out: list[tuple[int, int, int, int]] = []
-            for a, i, key, start, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for a, i, key, start, text, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if text is None:  # known to be repeated whole
+                    out.append((i, key, start, start + n))
+                    continue
                 if (a, i) != (anchor, now):
                     for words in waiting:  # what a document has itself does not count against it
                         automaton.insert(words)
@@ -234,12 +296,13 @@ def _match(window: int, shard_words: int):
 
 def repeated_spans(rows: DataFrame, window: int, gram: int = GRAM, shard_words: int = SHARD_WORDS) -> DataFrame:
     """Spans ``(id, key, a, b)`` of words that a smaller id has too; spans of a row may overlap."""
-    hits = _anchor_rows(rows, window, gram).repartition("anchor").sortWithinPartitions("anchor", "id").mapInArrow(shared, "anchor long, id long, key long")
+    met = _anchor_rows(rows, window, gram).repartition(F.when(F.col("known"), F.xxhash64("id")).otherwise(F.col("anchor")))
+    hits = met.sortWithinPartitions("anchor", "id").mapInArrow(shared, "anchor long, id long, key long")
     by_row = hits.groupBy("id", "key").agg(F.collect_list("anchor").alias("anchors"))
     # The same left join as the last step's, so that Spark deals the texts out once and reads them twice.
     met = rows.join(by_row, ["id", "key"], "left").withColumn("t", F.when(F.col("anchors").isNotNull(), F.col("t")))
     passages = _passages(met, window, gram)
-    return passages.repartition("anchor").sortWithinPartitions("anchor", "id").mapInArrow(released(_match(window, shard_words)), "id long, key long, a long, b long")
+    return passages.repartition("deal").sortWithinPartitions("deal", "id").mapInArrow(released(_match(window, shard_words)), "id long, key long, a long, b long")
 
 
 def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, carry: list[str] | None = None, verbatim: bool = False) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harrow.llm.scratch import checkpointed
+from harrow.llm import scratch
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -32,19 +32,34 @@ def _state(edges: DataFrame) -> tuple:
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Rows ``(node, component)`` for every node of ``edges(a, b)``; component is the smallest node reachable.
 
-    Self loops and repeated links are harmless; an empty table gives an empty table.
+    Self loops and repeated links are harmless, links with a null are none; an empty table gives an
+    empty table.  A round's table is deleted as soon as the next one is written.
     """
+    spark = edges.sparkSession
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = checkpointed(edges)
+    edges, path = scratch.write(edges, "links")
     state = _state(edges)
     for _ in range(max_rounds):
         if not state[0]:
             break
-        edges = checkpointed(_small_star(_large_star(edges)))
-        before, state = state, _state(edges)
+        edges, fresh = scratch.write(_small_star(_large_star(edges)), "links")
+        scratch.delete(spark, path)
+        before, state, path = state, _state(edges), fresh
         if state == before:
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = edges.select(F.col("b").alias("node")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(roots.select("node", F.col("node").alias("component")))
+
+
+def named(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """``nodes(node, least, ..)`` with ``component``: the smallest ``least`` of the node's component in ``found``.
+
+    The names are written before they are joined, so that the join, not knowing an aggregate, may
+    broadcast them by their size or split the rows of a large component.
+    """
+    found = found.withColumnRenamed("component", "root")
+    names = scratch.materialize(nodes.select("node", "least").join(found, "node").groupBy("root").agg(F.min("least").alias("name")), "links")
+    rooted = nodes.join(found, "node", "left").join(names, "root", "left")
+    return rooted.select(*nodes.columns, F.coalesce("name", "least").alias("component"))

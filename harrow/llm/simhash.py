@@ -27,13 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harrow.llm import scratch
-from harrow.llm.components import components
+from harrow.llm.components import components, named
 from harrow.llm.memory import released
 
 SLICE_WORDS = 100_000
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-#: Collisions are compared in blocks of so many rows at once.
-TILE = 1024
+#: Rows that one row is compared with at once.
+TILE = 65_536
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -71,16 +71,21 @@ def fingerprint(text: bytes, shingle: int = 3, lanes: int = 1, seed: int = 42) -
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, lanes: int = 1) -> DataFrame:
-    """``(id, fp array<long>)`` of every whole text, lane 0 first; a text without words has zeros."""
+    """``(id, fp array<long>, key)`` of every whole text, lane 0 first; a text without words has zeros.
+
+    ``key`` is a hash of the text, which tells rows of one id apart.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             fps = np.array([fingerprint(t or b"", shingle, lanes) for t in texts], dtype=np.uint64).reshape(-1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * lanes), pa.array(fps.view(np.int64)))], names=["id", "fp"])
+            ends = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * lanes)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(fps.view(np.int64))), batch.column(2)], names=["id", "fp", "key"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(released(run), f"id {kind}, fp array<long>")
+    kind, text = docs.schema[id_col].dataType.simpleString(), F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("t"), F.xxhash64(text).alias("key"))
+    return rows.mapInArrow(released(run), f"id {kind}, fp array<long>, key long")
 
 
 def masks(bits: int, radius: int) -> np.ndarray:
@@ -98,8 +103,10 @@ def _cut(fp: np.ndarray, start: int, bits: int) -> np.ndarray:
 
 
 def variants(fp: np.ndarray, blocks: list[tuple[int, int]], reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """``(row, key)`` of the variants that rows of fingerprints emit; a key also holds its block."""
-    rows, keys = [], []
+    """``(row, key)`` of the variants that rows of fingerprints emit; a key also holds its block's number, above its bits."""
+    rows, keys, width = [], [], max(bits for _, bits in blocks)
+    if width + len(blocks).bit_length() > 63:
+        raise ValueError("blocks and their numbers take 63 bits at most")
     for number, (start, bits) in enumerate(blocks):
         value = _cut(fp, start, bits)
         odd = np.bitwise_count(value) % 2 == 1
@@ -107,8 +114,11 @@ def variants(fp: np.ndarray, blocks: list[tuple[int, int]], reach: int) -> tuple
             at = np.flatnonzero(chosen)
             near = masks(bits, ball)
             rows.append(np.repeat(at, len(near)))
-            keys.append(_mix((value[at][:, None] ^ near[None, :]).reshape(-1), number + 1))
-    return np.concatenate(rows), np.concatenate(keys)
+            keys.append((value[at][:, None] ^ near[None, :]).reshape(-1) | np.uint64(number << width))
+    # A row's variants one after the other: shuffled, they then compress well.
+    rows = np.concatenate(rows)
+    order = np.argsort(rows, kind="stable")
+    return rows[order], np.concatenate(keys)[order]
 
 
 class Forest:
@@ -132,14 +142,25 @@ class Forest:
 
 
 def _within(nodes: np.ndarray, fp: np.ndarray, radius: int, forest: Forest) -> None:
-    """Link the rows of one variant that are within ``radius``, tile by tile."""
-    for a in range(0, len(nodes), TILE):
-        for b in range(a, len(nodes), TILE):
-            left, right = fp[a : a + TILE], fp[b : b + TILE]
-            apart = sum(np.bitwise_count(left[:, None, k] ^ right[None, :, k]).astype(np.int16) for k in range(fp.shape[1]))
-            x, y = np.nonzero(np.triu(apart <= radius, 1) if a == b else apart <= radius)
-            for i, j in zip(nodes[a + x].tolist(), nodes[b + y].tolist(), strict=True):
-                forest.join(i, j)
+    """Connect the rows of one variant that are within ``radius``.
+
+    Rows are reached from one another breadth first, and only what is not reached yet is compared
+    to, so a group of near copies costs its size times the rows that are not in it, not its square.
+    """
+    left = np.arange(len(nodes))
+    while len(left):
+        queue, left = [left[0]], left[1:]
+        while queue and len(left):
+            at = queue.pop()
+            near = np.zeros(len(left), dtype=bool)
+            for a in range(0, len(left), TILE):
+                near[a : a + TILE] = np.bitwise_count(fp[left[a : a + TILE]] ^ fp[at]).sum(axis=1) <= radius
+            if near.any():
+                found = left[near]
+                for node in nodes[found].tolist():
+                    forest.join(int(nodes[at]), node)
+                queue.extend(found.tolist())
+                left = left[~near]
 
 
 def link(nodes: np.ndarray, fp: np.ndarray, cuts: np.ndarray, radius: int, forest: Forest) -> None:
@@ -181,21 +202,28 @@ def near_links(unique: DataFrame, radius: int, blocks: list[tuple[int, int]], re
                     )
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Batches come sorted by variant; the last group of a batch waits for its rest."""
-        forest, kept = Forest(), None
+        """Batches come sorted by variant; the last group of a batch waits, in pieces, for its rest."""
+        forest, held = Forest(), []
+
+        def whole() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            return tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
         for batch in batches:
+            if not batch.num_rows:
+                continue
             key, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             fp = np.stack([batch.column(2 + k).to_numpy().view(np.uint64) for k in range(batch.num_columns - 2)], axis=1)
-            if kept is not None:
-                key, node, fp = np.concatenate([kept[0], key]), np.concatenate([kept[1], node]), np.concatenate([kept[2], fp])
-            if not len(key):
+            held.append((key, node, fp))
+            if key[0] == key[-1] == held[0][0][-1]:  # nothing has ended yet
                 continue
+            key, node, fp = whole()
             cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             end = cuts[-1]
-            kept = key[end:], node[end:], fp[end:]
+            held = [(key[end:], node[end:], fp[end:])]
             link(node[:end], fp[:end], cuts[:-1], radius, forest)
-        if kept is not None:
-            link(kept[1], kept[2], np.array([0]), radius, forest)
+        if held:
+            key, node, fp = whole()
+            link(node, fp, np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), radius, forest)
         for s in range(0, len(forest.links), 50_000):
             pairs = np.array(forest.links[s : s + 50_000], dtype=np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
@@ -216,26 +244,41 @@ def group_near(
     reach: int | None = None,
     link_empty: bool = True,
 ) -> DataFrame:
-    """``(id, fp, component)`` of every row: component is the smallest id reachable through fingerprints within ``radius``.
+    """``(id, fp, key, component)`` of every row: component is the smallest id reachable through fingerprints within ``radius``.
 
     With the default blocks every link is found (``blocks`` of equal width, ``reach`` what the pigeonhole
-    principle asks for); narrower ones find those links that differ by ``reach`` or less in a block.
+    principle asks for); fewer or narrower ones find those links that differ by ``reach`` or less in a block.
     Null and empty texts have the fingerprint zero and link like any other, or only with each other
-    where ``link_empty`` is off; rows whose id is null are given back with a null component and link nothing; ids must be whole numbers.
+    where ``link_empty`` is off; rows whose id is null are given back with a null component and link
+    nothing; ids must be whole numbers, and rows that share one are rows of their own (``key`` hashes
+    the text).  Equal texts, repeated rows and ties have equal fingerprints.  Other columns, whatever
+    their names, are ignored; an empty table gives an empty table.  A very long text is taken in slices.
     """
     if blocks is None:
         width = 32
         blocks = [(s, width) for s in range(0, 64 * lanes, width)]
         reach = radius // len(blocks)
     rows = scratch.materialize(fingerprints(docs, id_col, text_col, shingle, lanes), "simhash")
-    unique = scratch.checkpointed(rows.where("id IS NOT NULL").groupBy("fp").agg(F.min("id").cast("long").alias("node")))
+    # A fingerprint is a node of its own; its number is fixed as the table is written.
+    unique = rows.where("id IS NOT NULL").groupBy("fp").agg(F.min("id").cast("long").alias("least")).withColumn("node", F.monotonically_increasing_id())
+    unique = scratch.materialize(unique, "simhash")
     linked = unique if link_empty else unique.where(F.exists("fp", lambda x: x != 0))
     found = components(near_links(linked.select("node", "fp"), radius, blocks, reach))
-    roots = unique.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
-    return rows.join(roots, "fp", "left").select(F.col("id").alias(id_col), "fp", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
+    roots = named(unique, found).select("fp", "component")
+    return rows.join(roots, "fp", "left").select(F.col("id").alias(id_col), "fp", "key", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns: the smallest id of each group; rows without id stay."""
-    dropped = group_near(docs, id_col, text_col, **settings).where(f"`{id_col}` <> component").select(F.col(id_col).alias("__dropped")).distinct()
-    return docs.join(dropped, docs[id_col] == dropped["__dropped"], "left_anti")
+    """The rows of ``docs`` that stay, with their columns: of each group the smallest id, of its rows the one with the smallest ``key``.
+
+    Rows are told apart by id and text, so a row that only shares its id with a near copy stays, and
+    rows that repeat both stay or go together; rows without id stay.  Null and empty texts, long
+    texts and empty tables are as in ``group_near``.
+    """
+    found = group_near(docs, id_col, text_col, **settings).select(F.col(id_col).alias("id"), "key", "component").where("id IS NOT NULL")
+    first = found.where("id = component").groupBy("id").agg(F.min("key").alias("least"))
+    others = found.where("id = component").join(first, "id").where("key <> least").select("id", "key")
+    gone = found.where("id <> component").select("id", "key").unionAll(others).distinct()
+    # The columns go along as one, so that no name can clash.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("key"))
+    return rows.join(gone, ["id", "key"], "left_anti").select("row.*")

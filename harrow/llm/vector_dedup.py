@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harrow.llm import scratch
-from harrow.llm.components import components
+from harrow.llm.components import components, named
 from harrow.llm.simhash import Forest
 
 MAX_PIVOTS, LIST_ROWS, TILE = 16_384, 2048, 512
@@ -57,7 +57,7 @@ def _apart(points: np.ndarray, n: int) -> np.ndarray:
 def pivots(unique: DataFrame, n: int) -> dict[int, np.ndarray]:
     """Unit reference points by dimension: at most ``n`` of the vectors with the smallest hash, which are at most ``MAX_PIVOTS``."""
     by_size: dict[int, list] = {}
-    for r in unique.orderBy(F.xxhash64("node"), "node").select("v").limit(min(2 * n, MAX_PIVOTS)).collect():
+    for r in unique.orderBy(F.xxhash64("label", "v"), "node").select("v").limit(min(2 * n, MAX_PIVOTS)).collect():
         by_size.setdefault(len(r["v"]), []).append(r["v"])
     return {d: _apart(_unit(np.array(v, dtype=float)), n) for d, v in by_size.items()}
 
@@ -85,7 +85,7 @@ def describe(unique: DataFrame, points: dict[int, np.ndarray], nearest: int, lea
                         perm[i], covered[i] = p[: k if c else max(k, nearest)].tolist(), c
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(perm, pa.list_(pa.int32())), pa.array(covered, pa.bool_())], names=[*batch.schema.names, "perm", "covered"])
 
-    return unique.mapInArrow(run, "label string, v array<double>, node long, copies long, perm array<int>, covered boolean")
+    return unique.select("label", "v", "node", "copies").mapInArrow(run, "label string, v array<double>, node long, copies long, perm array<int>, covered boolean")
 
 
 class _Found:
@@ -186,10 +186,12 @@ def group_vectors(
     """
     rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).cast("string").alias("label"))
     rows = rows.withColumn("v", F.when(_usable("v", "label", "id"), F.col("v")))
-    unique = scratch.checkpointed(rows.where("v IS NOT NULL").groupBy("label", "v").agg(F.min("id").alias("node"), F.count("*").alias("copies")))
+    # A vector of a label is a node of its own; its number is fixed as the table is written.
+    unique = rows.where("v IS NOT NULL").groupBy("label", "v").agg(F.min("id").alias("least"), F.count("*").alias("copies")).withColumn("node", F.monotonically_increasing_id())
+    unique = scratch.materialize(unique, "vectors")
     n = unique.count()
     points = pivots(unique, max(16, int(4 * n**0.5)))
-    entries = scratch.materialize(describe(unique, points, nearest, least), "vectors")
+    entries = scratch.materialize(describe(unique.drop("least"), points, nearest, least), "vectors")
     posted = entries.withColumn("pivot", F.explode("perm"))
     sizes = entries.select("label", F.explode("perm").alias("pivot")).groupBy("label", "pivot").agg(F.ceil(F.count("*") / F.lit(LIST_ROWS)).cast("int").alias("parts"))
     posted = posted.join(sizes, ["label", "pivot"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
@@ -199,7 +201,7 @@ def group_vectors(
     found = scratch.materialize(cells.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_verify(least, shared), "a long, b long, n long"), "vectors")
     groups = components(found.where("b IS NOT NULL").select("a", "b"))
     degrees = found.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("degree"))
-    known = unique.join(degrees, "node", "left").join(groups, "node", "left").select("label", "v", "copies", "degree", F.coalesce("component", "node").alias("component"))
+    known = named(unique, groups).join(degrees, "node", "left").select("label", "v", "copies", "degree", "component")
     return rows.join(known, ["label", "v"], "left").select(
         F.col("id").alias(id_col),
         F.coalesce(F.coalesce("degree", F.lit(0)) + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"),

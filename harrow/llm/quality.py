@@ -5,9 +5,10 @@ with both, in blocks so that a long text cannot teach the compressor its own sty
 difference of the two sizes over their sum is the evidence.  A logistic curve, fitted on labelled
 rows that the dictionaries have not seen, turns it into a score from 0 to 1.
 
-Fitting uses a bounded sample: at most ``dictionary_rows`` rows per class for the dictionaries and
-``calibration_rows`` per class for the curve, each cut to ``sample_bytes`` (documented bounds; the
-ids with the smallest hash are taken).  Scoring reads every whole text.
+Fitting uses a bounded sample of labelled rows, whole: at most ``dictionary_rows`` per class for the
+dictionaries and ``calibration_rows`` per class for the curve, the ids with the smallest hash first,
+and of each class no more rows than ``sample_bytes`` hold (documented bounds).  Scoring reads every
+whole text.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from harrow.llm import scratch
+
 BLOCK = 2048
 
 
@@ -92,14 +95,16 @@ def fit(
     label_col: str = "quality",
     dictionary_rows: int = 1500,
     calibration_rows: int = 1000,
-    sample_bytes: int = 4096,
+    sample_bytes: int = 32_000_000,
     dictionary_bytes: int = 112_640,
 ) -> CompressionModel:
     """Fit on the texts of ``docs`` that ``labels`` marks 0 or 1; of an id's labels the smallest counts.
 
-    The sample is drawn from the ids alone, so it has at most ``2 * (dictionary_rows +
-    calibration_rows)`` rows and is broadcast to find its texts in one scan.  A class without rows
-    leaves both dictionaries empty; the score is then the share of label 1 (1/2 with no labels).
+    The sample is drawn from the ids alone, so it has at most ``2 * (dictionary_rows + calibration_rows)``
+    rows and is broadcast to find its texts in one scan.  They are written, and their sizes decide
+    how many rows of each class, in order of hash, reach the driver: up to ``sample_bytes``, one at
+    least.  Of an id's texts the smallest counts; null counts as empty.  A class without rows leaves both
+    dictionaries empty; the score is then the share of label 1 (1/2 with no labels).
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("y"))
     known = known.withColumn("h", F.xxhash64(F.col("id").cast("string")))
@@ -110,8 +115,17 @@ def fit(
         return CompressionModel(b"", b"", prior, 0.0)
     n = dictionary_rows + calibration_rows
     drawn = known.where("y = 0").orderBy("h", "id").limit(n).unionAll(known.where("y = 1").orderBy("h", "id").limit(n))
-    texts = docs.select(F.col(id_col).alias("id"), F.substring(F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8"), 1, sample_bytes).alias("t"))
-    rows = sorted((r["h"], r["id"], r["y"], bytes(r["t"])) for r in texts.join(F.broadcast(drawn), "id").collect())
+    texts = docs.select(F.col(id_col).alias("id"), F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "utf-8").alias("t"))
+    found, path = scratch.write(texts.join(F.broadcast(drawn), "id").groupBy("id", "h", "y").agg(F.min("t").alias("t")), "labelled")
+    sizes, chosen, room = found.select("h", "id", "y", F.octet_length("t").alias("n")).collect(), [], {0: sample_bytes, 1: sample_bytes}
+    for r in sorted(sizes, key=lambda r: (r["h"], r["id"])):
+        if room[r["y"]] == sample_bytes or r["n"] <= room[r["y"]]:
+            chosen.append(r["id"])
+            room[r["y"]] -= r["n"]
+        else:
+            room[r["y"]] = -1
+    rows = sorted((r["h"], r["id"], r["y"], bytes(r["t"])) for r in found.where(F.col("id").isin(chosen)).collect())
+    scratch.delete(docs.sparkSession, path)
     by_class = {v: [t for _, _, y, t in rows if y == v] for v in (0, 1)}
     # Of a small class a third is left for the curve.
     own = {v: min(dictionary_rows, len(by_class[v]) * 2 // 3 or 1) for v in (0, 1)}
@@ -126,7 +140,11 @@ def fit(
 
 
 def score(docs: DataFrame, model: CompressionModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, score)`` for each row; null and empty texts get the curve's value at no evidence."""
+    """``(id, score)`` for each row; null and empty texts get the curve's value at no evidence.
+
+    Equal texts have equal scores, repeated rows and null ids are scored like others, long texts are
+    read whole; other columns, whatever their names, are ignored; an empty table gives an empty table.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

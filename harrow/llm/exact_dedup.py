@@ -1,10 +1,12 @@
 """Exact deduplication: a tree merge of sorted digest runs, with DataFrame operations only.
 
 Each scan task turns its rows into ``(digest, bytes, id)`` and combines equal ones at once, which
-is the leaf level.  Runs then meet in binomial rounds: in round ``r`` run ``i`` with bit ``r`` set
-goes to run ``i - 2**r``.  A run is split by digest over all tasks, so no task ever holds a whole
-run, and a group of copies shrinks to one row per run before the first exchange.  Texts never move:
-only the 32-byte digest, the byte length that verifies it, one identifier and a count do.
+is the leaf level: ``2**rounds`` runs, to which the tasks are dealt by number.  Runs then meet in
+binomial rounds: in round ``r`` run ``i`` with bit ``r`` set goes to run ``i - 2**r``, the rows of
+both are put in order of digest, byte length and identifier, and of equal digests whose lengths agree the
+first row stays, with the sum of the counts.  A run is dealt by digest over all tasks, so no task
+ever holds a whole run, and a group of copies is one row per run before the first merge.  Texts
+never move: only the 32-byte digest, the byte length that verifies it, one identifier and a count do.
 """
 
 from __future__ import annotations
@@ -21,16 +23,15 @@ def text_digest(text: Column) -> Column:
 def merge_runs(leaves: DataFrame, rounds: int, keep: str) -> DataFrame:
     """Merge ``leaves(run, digest, n_bytes, id)`` into ``(digest, n_bytes, keep_id, group_size)``.
 
-    ``keep`` is ``"min"`` or ``"max"``: which identifier survives every level.
+    ``keep`` is ``"min"`` or ``"max"``: which identifier survives every level; a null does only if all are.
     """
-    pick = {"min": F.min, "max": F.max}[keep]
+    pick, first = {"min": (F.min, F.asc_nulls_last), "max": (F.max, F.desc_nulls_last)}[keep]
     runs = leaves.groupBy("run", "digest", "n_bytes").agg(pick("id").alias("keep_id"), F.count("*").alias("group_size"))
+    equal = Window.partitionBy("run", "digest", "n_bytes")  # two rows at most: one of each run that is merged
     for r in range(rounds):
-        runs = (
-            runs.withColumn("run", F.col("run").bitwiseAND(~(1 << r)))
-            .groupBy("run", "digest", "n_bytes")
-            .agg(pick("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-        )
+        merged = runs.withColumn("run", F.col("run").bitwiseAND(~(1 << r)))
+        ordered = merged.withColumns({"place": F.row_number().over(equal.orderBy(first("keep_id"))), "group_size": F.sum("group_size").over(equal)})
+        runs = ordered.where("place = 1").drop("place")
     return runs.drop("run")
 
 
@@ -47,7 +48,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         text_digest(F.col(text_col)).alias("digest"),
         F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_bytes"),
     )
-    leaves = rows.withColumn("run", F.pmod(F.xxhash64("id"), F.lit(1 << rounds)).cast("int"))
+    leaves = rows.withColumn("run", F.pmod(F.spark_partition_id(), F.lit(1 << rounds)))
     winners = merge_runs(leaves, rounds, keep)
     return rows.join(winners, ["digest", "n_bytes"]).select(
         F.col("id").alias(id_col),
@@ -59,7 +60,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns: one of each group, also of rows that repeat an id and text."""
+    """The rows of ``docs`` that stay, with their columns: one of each group, also of rows that repeat an id and text.
+
+    Null, empty and long texts, null ids and empty tables are as in ``exact_groups``; columns of any name are kept.
+    """
     groups = exact_groups(docs, id_col, text_col, keep).where("kept").select(F.col(id_col).alias("kept_id"), F.unhex("text_sha256").alias("kept_digest"))
     # The columns go along as one, so that no name can clash.
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), text_digest(F.col(text_col)).alias("digest"))

@@ -1,8 +1,10 @@
 """Sharding by proportional stratified interleaving, with DataFrame operations only.
 
 Rows of a source are put in a seeded random order; row ``r`` of ``n`` gets the fractional rank
-``(r + 1/2) / n``.  Sorting all rows by it interleaves the sources evenly, so any stretch of the
-order holds the mixture, and cutting it at equal counts gives shards that each match the mixture.
+``(r + u) / n``, where ``u`` is a seeded hash of the source between 0 and 1, so that the rows of many
+small sources do not all stand at the same rank.  Sorting all rows by it interleaves the sources
+evenly, so any stretch of the order holds the mixture, and cutting it at equal counts gives shards
+that each match the mixture.
 
 Ranks come from counts per bucket plus a rank inside a bucket, never from one task per source:
 the order key's first hex digits bucket a source, and the fractional rank itself buckets the whole.
@@ -37,13 +39,15 @@ def interleave(rows: DataFrame, source_col: str, id_col: str, n_shards: int, see
         (F.sum("__n").over(by_source.orderBy("__bucket")) - F.col("__n")).alias("__before"),
         F.sum("__n").over(by_source).alias("__total"),
     )
+    # 52 bits of a hash as a fraction below 1.
+    start = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("__source"))), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
     in_bucket = Window.partitionBy("__source", "__bucket").orderBy("__key", id_col, *[c for c in everything if c not in (source_col, id_col)])
     ranked = (
         keyed.withColumn("__rank", F.row_number().over(in_bucket) - 1)
         .join(counts, ["__source", "__bucket"])
         .withColumn("__rank", F.col("__before") + F.col("__rank"))
-        .withColumn("__place", (F.col("__rank") + F.lit(0.5)) / F.col("__total"))
-        .withColumn("__slice", F.expr(f"((2 * __rank + 1) * {BUCKETS}) div (2 * __total)").cast("int"))
+        .withColumn("__place", (F.col("__rank") + start) / F.col("__total"))
+        .withColumn("__slice", F.least(F.floor(F.col("__place") * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
         .select(*everything, "__source", "__rank", "__place", "__slice")
     )
     slices = ranked.groupBy("__slice").agg(F.count("*").alias("__n"))  # at most BUCKETS rows; Spark reuses the exchange behind the ranks

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 import public_tokenizers
 from harrow.llm import exact_dedup, licenses, packing, quality, scratch, sentencepiece_codec, sharding, simhash, substring, vector_dedup, warc
 from harrow.llm.components import components
@@ -252,8 +253,58 @@ def test_codec(docs, empty):
 
 
 def test_scratch(spark):
-    table = scratch.materialize(spark.range(3), "test")
-    assert table.count() == 3
-    scratch.release(spark, "test")
-    with pytest.raises(Exception):
-        spark.read.parquet(table.inputFiles()[0]).count()
+    """An owner's tables go when they are released, and no others."""
+    mine = scratch.materialize(spark.range(2), "test")
+    with scratch.owner("one"):
+        table = scratch.materialize(spark.range(3), "test")
+    with scratch.owner("two"):
+        other = scratch.materialize(spark.range(4), "test")
+    scratch.release(spark, "one")
+    with pytest.raises(Exception):  # noqa: B017
+        table.count()
+    assert (mine.count(), other.count()) == (2, 4)
+    scratch.release(spark, "two")
+    _, path = scratch.write(spark.range(5), "test")
+    scratch.delete(spark, path)
+    scratch.delete(spark, path)
+
+
+def _folders(spark):
+    import os
+
+    return {f for f in os.listdir(scratch.shared_dir(spark).removeprefix("file://")) if f.startswith("harrow-")}
+
+
+def test_pipeline_leaves_only_the_last_stages_tables(spark):
+    """A run deletes what its stages leave behind but what its lazy result reads, and touches no other result's tables."""
+    from harrow.llm import queries
+
+    held = queries.op8_simhash(spark, "/root/testdata/sf0.001")
+    scratch.release(spark, "pipeline packing")
+    before = _folders(spark)
+    result = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert result.count() > 0 and held.count() == 200
+    left = _folders(spark) - before
+    scratch.release(spark, "pipeline packing")
+    assert {f.split("-")[1] for f in left} <= {"packing", "pipeline"} and len(left) <= 3
+
+
+def test_drop_near_goes_by_row(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text), (6, text + " end"), (6, "quite another text of a row that shares its id"), (7, None), (8, ""), (None, text), (1, text), (1, text + " more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("k")).withColumn("row", F.lit(1))
+    left = simhash.drop_near(docs, shingle=5, radius=44, lanes=4, blocks=corpus_pipeline.BLOCKS, reach=2, link_empty=False)
+    assert left.columns == docs.columns
+    got = sorted((r["doc_id"] or 0, r["text"] or "") for r in left.collect())
+    assert [g for g in got if g[0] in (0, 6)] == [(0, text), (6, rows[2][1])]
+    assert len({g[1] for g in got if g[0] == 1}) == 1 and [g[0] for g in got if g[0] > 6] == [7]
+
+
+def test_hot_variant_of_far_and_near_rows(spark):
+    """Many rows of one variant: those within the radius become one group, whatever the order."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, 3, dtype=np.uint64)
+    fp = [int(b) ^ (1 << int(k)) for b in base for k in rng.permutation(60)[:50]]
+    forest = simhash.Forest()
+    simhash.link(np.arange(150), np.array(fp, dtype=np.uint64).reshape(-1, 1), np.array([0]), 3, forest)
+    assert {forest.root(i) for i in range(150)} == {0, 50, 100}

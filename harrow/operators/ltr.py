@@ -16,6 +16,8 @@ from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegre
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from harrow.operators.lineage import cut
+
 #: What a document that is no candidate scores.
 MISSING = -1e6
 
@@ -57,39 +59,44 @@ class LambdaMart:
     features: list[str] = field(default_factory=list)
 
     def fit(self, pairs: DataFrame, features: list[str]) -> LambdaMart:
-        """``pairs`` has ``query_id``, ``doc_id``, ``label`` and the features; it is read once a tree."""
+        """``pairs`` has ``query_id``, ``doc_id``, ``label`` and the features, one row a query and document."""
         if "label" not in pairs.columns:
             raise ValueError("training pairs need labels")
         self.features, self.models = list(features), []
-        rows = self._assembled(pairs).select("query_id", "doc_id", F.col("label").cast("double").alias("label"), "x").persist()
-        scores = rows.select("query_id", "doc_id", "label", F.lit(0.0).alias("prediction"))
+        now = self._assembled(pairs).select("query_id", "doc_id", F.col("label").cast("double").alias("label"), "x", F.lit(0.0).alias("prediction"))
+        now = cut(now)
         for k in range(self.trees):
-            grads = scores.groupBy("query_id").applyInPandas(_gradients, "query_id long, doc_id long, gradient double, curve double")
-            data = rows.join(grads, ["query_id", "doc_id"]).persist()
-            tree = DecisionTreeRegressor(featuresCol="x", labelCol="gradient", leafCol="leaf", maxDepth=self.depth, minInstancesPerNode=self.min_rows, seed=self.seed + k).fit(
+            grads = now.groupBy("query_id").applyInPandas(_gradients, "query_id long, doc_id long, gradient double, curve double")
+            data = now.join(grads, ["query_id", "doc_id"]).persist()
+            tree = DecisionTreeRegressor(featuresCol="x", labelCol="gradient", leafCol="leaf", predictionCol="fitted", maxDepth=self.depth, minInstancesPerNode=self.min_rows, seed=self.seed + k).fit(
                 data.sample(self.row_share, seed=self.seed + k) if self.row_share < 1 else data
             )
             leaves = tree.transform(data).groupBy("leaf").agg(F.sum("gradient").alias("g"), F.sum("curve").alias("h")).collect()  # at most 2**depth rows
             self.models.append((tree, {float(r["leaf"]): self.rate * r["g"] / (r["h"] + self.l2) for r in leaves}))
+            # The running score takes one tree a round, and each round starts from a written table.
+            now = cut(self._add(data, len(self.models) - 1).select(*now.columns))
             data.unpersist()
-            scores = self._scored(rows)
-        rows.unpersist()
         return self
 
+    def _add(self, rows: DataFrame, k: int) -> DataFrame:
+        """The step of tree ``k`` put to ``prediction``."""
+        tree, steps = self.models[k]
+        tree.setLeafCol("__leaf").setPredictionCol("__fitted")
+        table = F.create_map(*[F.lit(v) for pair in steps.items() for v in pair])
+        step = F.coalesce(F.element_at(table, F.col("__leaf")), F.lit(0.0))
+        return tree.transform(rows).withColumn("prediction", F.col("prediction") + step).drop("__leaf", "__fitted")
+
     def _assembled(self, pairs: DataFrame) -> DataFrame:
         return VectorAssembler(inputCols=self.features, outputCol="x", handleInvalid="error").transform(pairs)
 
     def _scored(self, rows: DataFrame) -> DataFrame:
-        out, total = rows, F.lit(0.0)
-        for k, (tree, steps) in enumerate(self.models):
-            tree.setLeafCol(f"leaf_{k}").setPredictionCol(f"p_{k}")
-            out = tree.transform(out)
-            table = F.create_map(*[F.lit(v) for pair in steps.items() for v in pair])
-            total = total + F.coalesce(F.element_at(table, F.col(f"leaf_{k}")), F.lit(0.0))
-        return out.withColumn("prediction", total).drop(*(c for k in range(len(self.models)) for c in (f"leaf_{k}", f"p_{k}")))
+        out = rows.withColumn("prediction", F.lit(0.0))
+        for k in range(len(self.models)):
+            out = self._add(out, k)
+        return out
 
     def predict(self, pairs: DataFrame) -> DataFrame:
-        """``(query_id, doc_id, score)``; documents without a row score ``MISSING``."""
+        """``(query_id, doc_id, score)`` of the pairs; ``rank.densify`` with ``MISSING`` scores all other documents."""
         if not self.models:
             raise ValueError("fit the ranker before predicting")
         return self._scored(self._assembled(pairs)).select("query_id", "doc_id", F.col("prediction").alias("score"))

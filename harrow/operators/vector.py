@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harrow.functions.text import char_wb_ngrams, word_ngrams
+from harrow.operators.lineage import cut
 
 # BM25's saturation and length weights.
 K1, B = 1.5, 0.75
@@ -22,8 +23,16 @@ def ngrams(text: Column, analyzer: str, low: int, high: int) -> Column:
     return {"word": word_ngrams, "char_wb": char_wb_ngrams}[analyzer](text, low, high)
 
 
+def dealt(docs: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` partitioned by id, before texts are cleaned and cut: terms take many times a text's room.
+
+    The number of partitions is named, as Spark would else choose it by the texts' size alone.
+    """
+    return docs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), id_col)
+
+
 def term_counts(docs: DataFrame, id_col: str, text: Column, analyzer: str = "word", low: int = 1, high: int = 1) -> DataFrame:
-    """``(doc_id, term, tf)``; Spark combines a document's terms before they are shuffled."""
+    """``(doc_id, term, tf)``; of ``dealt`` documents the terms are counted where they arise and never shuffled."""
     terms = docs.select(F.col(id_col).alias("doc_id"), F.explode(ngrams(text, analyzer, low, high)).alias("term"))
     return terms.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
@@ -34,34 +43,36 @@ def vocabulary(counts: DataFrame, min_df: int = 1, max_features: int | None = No
     return terms if max_features is None else terms.orderBy(F.desc("total"), "term").limit(max_features)
 
 
-def _with_vocabulary(counts: DataFrame, vocab: DataFrame) -> DataFrame:
-    return counts.join(vocab, "term")
+@dataclass
+class BM25Fitted:
+    """What BM25 knows of a table: ``counts``, ``vocab``, ``lengths(doc_id, length)`` in vocabulary terms, and ``stats``, one row ``(n, mean)``."""
 
+    counts: DataFrame
+    vocab: DataFrame
+    lengths: DataFrame
+    stats: DataFrame
 
-def bm25_postings(counts: DataFrame, vocab: DataFrame, docs: DataFrame, id_col: str) -> DataFrame:
-    """BM25 weights; documents without a term count in the number and mean length of documents."""
-    known = counts.join(vocab.select("term", "df"), "term")
-    length = known.groupBy("doc_id").agg(F.sum("tf").alias("length"))
-    n = docs.agg(F.count(id_col).alias("n"))
-    stats = length.agg(F.sum("length").alias("sum_length")).crossJoin(n).select("n", F.greatest(F.coalesce(F.col("sum_length"), F.lit(0)) / F.greatest("n", F.lit(1)), F.lit(1.0)).alias("mean"))
-    idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    saturated = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    return known.join(length, "doc_id").crossJoin(F.broadcast(stats)).select("doc_id", "term", (saturated * idf).alias("weight"))
+
+def fit_bm25(docs: DataFrame, id_col: str, counts: DataFrame, vocab: DataFrame, keep: Callable[[DataFrame], DataFrame] = cut) -> BM25Fitted:
+    """Documents without a term count in the number and mean length of documents."""
+    lengths = keep(counts.join(vocab.select("term"), "term", "left_semi").groupBy("doc_id").agg(F.sum("tf").alias("length")))
+    mean = F.greatest(F.coalesce(F.col("sum_length"), F.lit(0)) / F.greatest("n", F.lit(1)), F.lit(1.0)).alias("mean")
+    stats = lengths.agg(F.sum("length").alias("sum_length")).crossJoin(docs.agg(F.count(id_col).alias("n"))).select("n", mean)
+    return BM25Fitted(counts, vocab, lengths, keep(stats))
 
 
-def bm25_for(queries: DataFrame, counts: DataFrame, vocab: DataFrame, docs: DataFrame, id_col: str) -> DataFrame:
-    """BM25 scores ``(query_id, doc_id, score)``; only postings of the queries' terms are weighted and joined.
+def bm25_for(queries: DataFrame, fitted: BM25Fitted, keep: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
+    """BM25 scores ``(query_id, doc_id, score)`` of queries that are counts whose ``doc_id`` is the query's id.
 
-    ``queries`` are counts whose ``doc_id`` is the query's id.
+    The queries' terms come first and are written: by their size they are broadcast, so that of the
+    postings only those of the queries' terms leave the scan.
     """
-    wanted = queries.select("term").distinct().join(vocab.select("term", "df"), "term")
-    in_vocab = counts.join(vocab.select("term"), "term", "left_semi")
-    length = in_vocab.groupBy("doc_id").agg(F.sum("tf").alias("length"))
-    n = docs.agg(F.count(id_col).alias("n"))
-    stats = length.agg(F.sum("length").alias("sum_length")).crossJoin(n).select("n", F.greatest(F.coalesce(F.col("sum_length"), F.lit(0)) / F.greatest("n", F.lit(1)), F.lit(1.0)).alias("mean"))
+    queries = keep(queries)
+    wanted = keep(queries.select("term").distinct().join(fitted.vocab.select("term", "df"), "term"))
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     saturated = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    postings = counts.join(wanted, "term").join(length, "doc_id").crossJoin(F.broadcast(stats)).select("doc_id", "term", (saturated * idf).alias("weight"))
+    met = fitted.counts.join(wanted, "term").join(fitted.lengths, "doc_id").crossJoin(F.broadcast(fitted.stats))
+    postings = met.select("doc_id", "term", (saturated * idf).alias("weight"))
     return dot(queries.select(F.col("doc_id").alias("query_id"), "term", F.col("tf").cast("double").alias("weight")), postings)
 
 
@@ -88,15 +99,29 @@ def dot(queries: DataFrame, postings: DataFrame) -> DataFrame:
     return pairs.groupBy("query_id", "doc_id").agg(F.sum(F.col("q_weight") * F.col("weight")).alias("score"))
 
 
+def _weighted(counts: DataFrame, idf: DataFrame) -> DataFrame:
+    return counts.join(idf, "term").select("doc_id", "term", ((1 + F.log(F.col("tf"))) * F.col("idf")).alias("weight"))
+
+
 @dataclass
 class TfidfIndex:
-    """A fitted field: its vocabulary's weights and the documents' vectors."""
+    """A fitted field: the vocabulary's weights, the documents' counts and the lengths of their vectors."""
 
     idf: DataFrame
-    postings: DataFrame
+    counts: DataFrame
+    norms: DataFrame
     analyzer: str
     low: int
     high: int
+    keep: Callable[[DataFrame], DataFrame]
+
+    @property
+    def postings(self) -> DataFrame:
+        """The documents' unit vectors."""
+        return self._unit(_weighted(self.counts, self.idf))
+
+    def _unit(self, weighted: DataFrame) -> DataFrame:
+        return weighted.join(self.norms, "doc_id").where("norm > 0").select("doc_id", "term", (F.col("weight") / F.col("norm")).alias("weight"))
 
     def transform(self, queries: DataFrame, id_col: str, text: Column) -> DataFrame:
         """Query vectors ``(query_id, term, weight)``."""
@@ -104,15 +129,18 @@ class TfidfIndex:
         return tfidf_postings(counts, self.idf).withColumnRenamed("doc_id", "query_id")
 
     def score(self, queries: DataFrame, id_col: str, text: Column) -> DataFrame:
-        """Cosines of queries and documents."""
-        return dot(self.transform(queries, id_col, text), self.postings)
+        """Cosines of queries and documents; of the postings only those of the queries' terms are weighted."""
+        vectors = self.keep(self.transform(queries, id_col, text))
+        wanted = self.keep(vectors.select("term").distinct())
+        return dot(vectors, self._unit(_weighted(self.counts.join(wanted, "term", "left_semi"), self.idf)))
 
 
-def fit_tfidf(docs: DataFrame, id_col: str, text: Column, analyzer: str = "word", low: int = 1, high: int = 2, min_df: int = 1, max_features: int | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> TfidfIndex:
-    """``keep`` is applied to what a fitted index holds, for instance to write it."""
+def fit_tfidf(docs: DataFrame, id_col: str, text: Column, analyzer: str = "word", low: int = 1, high: int = 2, min_df: int = 1, max_features: int | None = None, keep: Callable[[DataFrame], DataFrame] = cut) -> TfidfIndex:
+    """``keep`` is applied to what a fitted index holds; it writes it, unless told otherwise."""
     counts = keep(term_counts(docs, id_col, text, analyzer, low, high))
     idf = keep(smooth_idf(vocabulary(counts, min_df, max_features), docs.agg(F.count(id_col).alias("n"))))
-    return TfidfIndex(idf, keep(tfidf_postings(counts, idf)), analyzer, low, high)
+    norms = keep(_weighted(counts, idf).groupBy("doc_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm")))
+    return TfidfIndex(idf, counts, norms, analyzer, low, high, keep)
 
 
 class BM25Index:
@@ -121,15 +149,15 @@ class BM25Index:
     def __init__(self, low: int = 1, high: int = 2, max_features: int | None = 150_000) -> None:
         self.low, self.high, self.max_features, self.fitted = low, high, max_features, None
 
-    def fit(self, docs: DataFrame, id_col: str, text: Column, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> BM25Index:
+    def fit(self, docs: DataFrame, id_col: str, text: Column, keep: Callable[[DataFrame], DataFrame] = cut) -> BM25Index:
         counts = keep(term_counts(docs, id_col, text, "word", self.low, self.high))
-        self.fitted = counts, keep(vocabulary(counts, 1, self.max_features)), docs, id_col
+        self.fitted, self.keep = fit_bm25(docs, id_col, counts, keep(vocabulary(counts, 1, self.max_features)), keep), keep
         return self
 
     def score(self, queries: DataFrame, id_col: str, text: Column) -> DataFrame:
         if self.fitted is None:
             raise ValueError("fit the index before scoring")
-        return bm25_for(term_counts(queries, id_col, text, "word", self.low, self.high), *self.fitted)
+        return bm25_for(term_counts(queries, id_col, text, "word", self.low, self.high), self.fitted, self.keep)
 
 
 @dataclass(frozen=True)
@@ -183,7 +211,7 @@ class ArticleIndex:
     def __init__(self, fields: list[Field] | None = None) -> None:
         self.fields, self.fitted = FIELDS if fields is None else fields, {}
 
-    def fit(self, articles: DataFrame, id_col: str, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> ArticleIndex:
+    def fit(self, articles: DataFrame, id_col: str, keep: Callable[[DataFrame], DataFrame] = cut) -> ArticleIndex:
         for f in self.fields:
             text = field_text(f)
             self.fitted[f.name] = (
@@ -220,7 +248,7 @@ class QueryFeatureSpace:
     def __init__(self, word_features: int = 50_000, char_features: int = 80_000) -> None:
         self.word_features, self.char_features, self.fitted = word_features, char_features, None
 
-    def fit(self, queries: DataFrame, id_col: str, text: Column, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> QueryFeatureSpace:
+    def fit(self, queries: DataFrame, id_col: str, text: Column, keep: Callable[[DataFrame], DataFrame] = cut) -> QueryFeatureSpace:
         self.fitted = (
             fit_tfidf(queries, id_col, text, "word", 1, 2, 1, self.word_features, keep),
             fit_tfidf(queries, id_col, text, "char_wb", 3, 5, 1, self.char_features, keep),

@@ -1,8 +1,8 @@
 """Every query of the retrieval engine with the SQL it is held against.
 
 The driver's tables stand in for the retrieval tables: ``documents`` are the articles (their first
-eight tokens the title), ``benchmark`` the queries, ``lineitem`` the labelled queries (order names
-part), ``documents.source`` the class of a document as a labelled query, ``embeddings`` dense queries.
+eight tokens the title), ``benchmark`` the queries, ``lineitem`` the labelled queries of labels alone
+(order names part), ``conversations`` those with texts (turn names conversation), ``embeddings`` dense queries.
 Scores are rounded to nine places before ranks are taken, so that the order of summation cannot
 decide a tie, and to six in results.
 """
@@ -18,7 +18,8 @@ from harrow.functions import html as html_fields
 from harrow.functions.stem import stem_text
 from harrow.functions.text import normalize_text, remove_noise, shingles, title_of, token_count, tokens
 from harrow.operators import classify, evaluate, graph, ltr, neighbors, pairs, rank, spell
-from harrow.operators.vector import BM25Index, fit_tfidf, term_counts, vocabulary
+from harrow.operators.lineage import cut
+from harrow.operators.vector import BM25Index, TfidfIndex, dealt, fit_tfidf, term_counts, vocabulary
 from harrow.plans import runs
 from harrow.sources.tables import table
 
@@ -56,8 +57,10 @@ def _nine(scores: DataFrame) -> DataFrame:
 # Tables in the roles of the retrieval engine.
 
 
-def _docs(spark: SparkSession, d: str) -> DataFrame:
-    clean = table(spark, d, "documents").select("doc_id", "source", normalize_text(F.col("text"), entities=False).alias("body_clean"))
+def _docs(spark: SparkSession, d: str, by_id: bool = False) -> DataFrame:
+    """The articles; ``by_id`` deals them out for queries that count their terms."""
+    rows = table(spark, d, "documents")
+    clean = (dealt(rows, "doc_id") if by_id else rows).select("doc_id", "source", normalize_text(F.col("text"), entities=False).alias("body_clean"))
     return clean.withColumn("title_clean", title_of(F.col("body_clean")))
 
 
@@ -154,14 +157,27 @@ def _top(scores: str, k: int = 10) -> str:
     return f"(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM {scores} QUALIFY rank <= {k})"
 
 
+_indexes: dict[tuple, BM25Index | TfidfIndex] = {}
+
+
+def _index(spark: SparkSession, d: str, name: str, fit: Callable[[DataFrame], BM25Index | TfidfIndex]):
+    """The fitted index over a session's documents, used by several queries until the table is written anew."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/documents.parquet")
+    status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+    key = (spark.sparkContext.applicationId, d, name, status.getModificationTime(), status.getLen())
+    if key not in _indexes:
+        _indexes[key] = fit(_docs(spark, d, by_id=True))
+    return _indexes[key]
+
+
 def _bm25(spark: SparkSession, d: str) -> DataFrame:
-    docs, items = _docs(spark, d), _items(spark, d)
     text = F.concat_ws(" ", "title_clean", "title_clean", F.substring("body_clean", 1, 30_000))
-    return _nine(BM25Index(1, 2, 120_000).fit(docs, "doc_id", text).score(items, "query_id", F.col("query_clean")))
+    index = _index(spark, d, "bm25", lambda docs: BM25Index(1, 2, 120_000).fit(docs, "doc_id", text))
+    return _nine(index.score(_items(spark, d), "query_id", F.col("query_clean")))
 
 
 def _title_chars(spark: SparkSession, d: str) -> DataFrame:
-    index = fit_tfidf(_docs(spark, d), "doc_id", F.col("title_clean"), "char_wb", 3, 6)
+    index = _index(spark, d, "title_char", lambda docs: fit_tfidf(docs, "doc_id", F.col("title_clean"), "char_wb", 3, 6))
     return _nine(index.score(_items(spark, d), "query_id", F.col("query_clean")))
 
 
@@ -228,7 +244,7 @@ def char_wb_tf(spark, d):
 @_query(f"""WITH {_BASE}, {_tf('c', 'd', 'doc_id', _words_sql('body_clean', 1, 1))}
     SELECT term, count(*) AS df, sum(tf)::BIGINT AS total, round(ln((1 + (SELECT count(*) FROM d)) / (1 + count(*))) + 1, 6) AS idf FROM c GROUP BY term HAVING count(*) >= 2""")
 def df_idf(spark, d):
-    docs = _docs(spark, d)
+    docs = _docs(spark, d, by_id=True)
     vocab = vocabulary(term_counts(docs, "doc_id", F.col("body_clean")), min_df=2)
     n = docs.agg(F.count("doc_id").alias("n"))
     return vocab.crossJoin(F.broadcast(n)).select("term", "df", "total", F.round(F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1, 6).alias("idf"))
@@ -236,7 +252,7 @@ def df_idf(spark, d):
 
 @_query(f"WITH {_BASE}, {_tf('c', 'd', 'doc_id', _words_sql('body_clean', 1, 2))} SELECT term, count(*) AS df, sum(tf)::BIGINT AS total FROM c GROUP BY term ORDER BY total DESC, term LIMIT 5000")
 def vocab_topk(spark, d):
-    return vocabulary(term_counts(_docs(spark, d), "doc_id", F.col("body_clean"), "word", 1, 2), 1, 5000)
+    return vocabulary(term_counts(_docs(spark, d, by_id=True), "doc_id", F.col("body_clean"), "word", 1, 2), 1, 5000)
 
 
 @_query()
@@ -281,7 +297,7 @@ def bm25_top10(spark, d):
     s AS (SELECT qv.id AS query_id, dv.id AS doc_id, round(sum(qv.w * dv.w), 9) AS score FROM qv JOIN dv USING (term) GROUP BY ALL)
     SELECT query_id, doc_id, round(score, 6) AS score, rank FROM {_top('s')}""")
 def tfidf_word_top10(spark, d):
-    index = fit_tfidf(_docs(spark, d), "doc_id", F.substring("body_clean", 1, 30_000), "word", 1, 2, 2, 120_000)
+    index = _index(spark, d, "body_word", lambda docs: fit_tfidf(docs, "doc_id", F.substring("body_clean", 1, 30_000), "word", 1, 2, 2, 120_000))
     return rank.top_k(_nine(index.score(_items(spark, d), "query_id", F.col("query_clean"))), 10).select("query_id", "doc_id", _six("score"), "rank")
 
 
@@ -334,7 +350,7 @@ def _sources(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"WITH {_CANDIDATES} SELECT query_id, doc_id FROM cand")
 def candidate_union(spark, d):
-    docs, items = _docs(spark, d), _items(spark, d)
+    docs, items = _docs(spark, d, by_id=True), _items(spark, d)
     labels = _contained(docs, items)
     return pairs.candidates(_sources(spark, d), ["bm25"], labels.select("doc_id"), items, labels)
 
@@ -352,7 +368,7 @@ def candidate_union(spark, d):
            round(abs(bm25_rr - title_char_rr) / 2, 6) AS rank_std, ((bm25_rr >= 0.1)::INT + (title_char_rr >= 0.1)::INT) AS ranks_at_01, ((bm25_rr >= 0.05)::INT + (title_char_rr >= 0.05)::INT) AS ranks_at_005
     FROM x""")
 def pair_features(spark, d):
-    docs, items = _docs(spark, d), _items(spark, d)
+    docs, items = _docs(spark, d, by_id=True), _items(spark, d)
     scores, labels = _sources(spark, d), _contained(docs, items)
     chosen = pairs.candidates(scores, ["bm25"], labels.select("doc_id"), items, labels)
     out = pairs.pair_features(chosen, scores, {"bm25": 0.0, "title_char": 0.0}, docs.count())
@@ -375,7 +391,7 @@ _AP = f"""{_BM25}, {_CONTAIN},
 
 
 def _average_precision(spark: SparkSession, d: str) -> DataFrame:
-    docs, items = _docs(spark, d), _items(spark, d)
+    docs, items = _docs(spark, d, by_id=True), _items(spark, d)
     return evaluate.average_precision(rank.top_k(_bm25(spark, d), 10), _contained(docs, items), items)
 
 
@@ -449,118 +465,184 @@ def link_propagation(spark, d):
     return graph.link_scores(scores, _links(spark, d)).withColumn("score", F.round("score", 6))
 
 
-# Labelled queries: documents by title, class = source, fold = doc_id % 5, fold 0 is answered by the rest.
+# Labelled queries: the turns of conversations, whole; a turn names its conversation.  Every fold (the query's
+# number modulo five) is answered by the other four; term weights come from all queries.
 
-_SPLIT = f"""{_BASE}, lab AS (SELECT doc_id AS id, substr(source, 4)::BIGINT AS c FROM d),
-    {_tf('tc', 'd', 'doc_id', _chars_sql('title_clean', 3, 5))}, {_tfidf('t', 'tc', 'tc', 'SELECT count(*) FROM d')},
-    va AS (SELECT * FROM tv WHERE id % 5 = 0), tn AS (SELECT * FROM tv WHERE id % 5 <> 0),
-    sim AS (SELECT va.id AS q, tn.id AS t, round(sum(va.w * tn.w), 9) AS s FROM va JOIN tn USING (term) GROUP BY ALL)"""
+FOLDS = 5
+_SPLIT = f"""
+    d AS (SELECT conv_id * 1000 + turn AS id, (conv_id * 1000 + turn) % {FOLDS} AS f, conv_id AS c, {_CLEAN.format("text")} AS x FROM conversations),
+    lab AS (SELECT id, c FROM d), fo AS (SELECT unnest(range({FOLDS})) AS f),
+    {_tf('tc', 'd', 'id', _chars_sql('x', 3, 5)).replace("SELECT *, id AS id,", "SELECT *,")}, {_tfidf('t', 'tc', 'tc', 'SELECT count(*) FROM d')},
+    va AS (SELECT id % {FOLDS} AS f, * FROM tv), tn AS (SELECT f, tv.* FROM tv JOIN fo ON tv.id % {FOLDS} <> f),
+    sim AS (SELECT a.id AS q, b.id AS t, round(sum(a.w * b.w), 9) AS s FROM va a JOIN va b ON a.term = b.term AND a.f <> b.f GROUP BY ALL)"""
 
 
 def _near(k: int) -> str:
     return f"(SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, t) AS r FROM sim QUALIFY r <= {k})"
 
 
-def _split(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Labelled rows, their labels, and the unit vectors of the answered and the other folds."""
-    docs = _docs(spark, d)
-    index = fit_tfidf(docs, "doc_id", F.col("title_clean"), "char_wb", 3, 5)
-    vectors = index.postings.withColumnRenamed("doc_id", "query_id")
-    return docs, _class_labels(docs), vectors.where("query_id % 5 = 0"), vectors.where("query_id % 5 <> 0")
+def _turns(spark: SparkSession, d: str) -> DataFrame:
+    """Labelled queries ``(query_id, doc_id, query_clean)``."""
+    number = F.col("conv_id") * 1000 + F.col("turn")
+    return table(spark, d, "conversations").select(number.alias("query_id"), F.col("conv_id").alias("doc_id"), normalize_text(F.col("text"), entities=False).alias("query_clean"))
+
+
+def _turn_vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Unit vectors and labels of all labelled queries."""
+    turns = _turns(spark, d)
+    index = fit_tfidf(dealt(turns, "query_id"), "query_id", F.col("query_clean"), "char_wb", 3, 5)
+    return cut(index.postings.withColumnRenamed("doc_id", "query_id")), turns.select("query_id", "doc_id")
+
+
+def _every_fold(answer: Callable[[DataFrame, DataFrame, DataFrame], DataFrame], vectors: DataFrame, labels: DataFrame) -> DataFrame:
+    """``answer(valid, train, train's labels)`` of every fold."""
+    fold, out = evaluate.fold_of(F.col("query_id"), FOLDS), None
+    for k in range(FOLDS):
+        one = answer(vectors.where(fold == k), vectors.where(fold != k), labels.where(fold != k))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
-def _sims(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    docs, labels, valid, train = _split(spark, d)
-    return _nine(neighbors.similarities(valid, train)), labels.where("query_id % 5 <> 0"), docs
+def _sims(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Similarities across folds, of all folds in one join."""
+    vectors, labels = _turn_vectors(spark, d)
+    other = evaluate.fold_of(F.col("query_id"), FOLDS) != evaluate.fold_of(F.col("train_id"), FOLDS)
+    return _nine(neighbors.similarities(vectors, vectors, other)), labels
 
 
 @_query(f"WITH {_SPLIT} SELECT q AS query_id, c AS doc_id, round(sum(pow(greatest(s, 0), 3)), 6) AS score FROM {_near(80)} n JOIN lab ON lab.id = n.t GROUP BY ALL")
 def knn_char_sum(spark, d):
-    sims, labels, _ = _sims(spark, d)
-    return neighbors.knn_sum(sims, labels).withColumn("score", F.round("score", 6))
+    return neighbors.knn_sum(*_sims(spark, d)).withColumn("score", F.round("score", 6))
 
 
 @_query(f"WITH {_SPLIT} SELECT q AS query_id, c AS doc_id, round(max(s), 6) AS score FROM {_near(40)} n JOIN lab ON lab.id = n.t GROUP BY ALL")
 def knn_char_max(spark, d):
-    sims, labels, _ = _sims(spark, d)
-    return neighbors.knn_max(sims, labels).withColumn("score", F.round("score", 6))
+    return neighbors.knn_max(*_sims(spark, d)).withColumn("score", F.round("score", 6))
 
 
-@_query(f"""WITH {_SPLIT}, allq AS (SELECT doc_id AS q FROM d WHERE doc_id % 5 = 0), allt AS (SELECT doc_id AS t FROM d WHERE doc_id % 5 <> 0),
-    full_sim AS (SELECT q, t, coalesce(s, 0) AS s FROM allq CROSS JOIN allt LEFT JOIN sim USING (q, t)),
+@_query(f"""WITH {_SPLIT}, full_sim AS (SELECT a.id AS q, b.id AS t, coalesce(s, 0) AS s FROM d a JOIN d b ON a.f <> b.f LEFT JOIN sim ON sim.q = a.id AND sim.t = b.id),
     n AS (SELECT *, max(s) OVER (PARTITION BY q) AS b, row_number() OVER (PARTITION BY q ORDER BY s DESC, t) AS r FROM full_sim QUALIFY r <= 40)
-    SELECT q AS query_id, c AS doc_id, round(sum(exp((s - b) / 0.07)), 6) AS score FROM n JOIN lab ON lab.id = n.t GROUP BY ALL""")
+    SELECT q AS query_id, c AS doc_id, round(sum(exp((s - b) / 0.07)), 5) AS score FROM n JOIN lab ON lab.id = n.t GROUP BY ALL""")
 def knn_char_soft(spark, d):
-    sims, labels, docs = _sims(spark, d)
-    train, valid = docs.where("doc_id % 5 <> 0").select(F.col("doc_id").alias("train_id")), docs.where("doc_id % 5 = 0").select(F.col("doc_id").alias("query_id"))
-    return neighbors.knn_soft(sims, labels, train, valid).withColumn("score", F.round("score", 6))
+    vectors, labels = _turn_vectors(spark, d)
+    turns, fold = _turns(spark, d).select("query_id"), evaluate.fold_of(F.col("query_id"), FOLDS)
 
+    def answer(valid: DataFrame, train: DataFrame, known: DataFrame) -> DataFrame:
+        rest = known.select(F.col("query_id").alias("train_id"))
+        return neighbors.knn_soft(_nine(neighbors.similarities(valid, train)), known, rest, turns.join(known, "query_id", "left_anti"))
 
-@_query(f"""WITH {_SPLIT}, cs AS (SELECT c, term, sum(w) AS w FROM tn JOIN lab USING (id) GROUP BY ALL), cv AS (SELECT c, term, w / sqrt(sum(w * w) OVER (PARTITION BY c)) AS w FROM cs)
-    SELECT va.id AS query_id, c AS doc_id, round(sum(va.w * cv.w), 6) AS score FROM va JOIN cv USING (term) GROUP BY ALL""")
+    return _every_fold(answer, vectors, labels).withColumn("score", F.round("score", 5))
+
+
+@_query(f"""WITH {_SPLIT}, cs AS (SELECT f, c, term, sum(w) AS w FROM tn JOIN lab USING (id) GROUP BY ALL), cv AS (SELECT f, c, term, w / sqrt(sum(w * w) OVER (PARTITION BY f, c)) AS w FROM cs)
+    SELECT va.id AS query_id, c AS doc_id, round(sum(va.w * cv.w), 6) AS score FROM va JOIN cv USING (f, term) GROUP BY ALL""")
 def rocchio(spark, d):
-    _, labels, valid, train = _split(spark, d)
-    return classify.rocchio(valid, train, labels).withColumn("score", F.round("score", 6))
+    return _every_fold(classify.rocchio, *_turn_vectors(spark, d)).withColumn("score", F.round("score", 6))
 
 
-_NB = f"""{_SPLIT}, n AS (SELECT c, term, sum(w) AS w FROM tn JOIN lab USING (id) GROUP BY ALL), f AS (SELECT term, sum(w) AS f FROM n GROUP BY 1),
-    cl AS (SELECT c, count(*) AS k FROM lab WHERE id IN (SELECT id FROM tn) GROUP BY 1), wc AS (SELECT c, sum(w) AS w FROM n GROUP BY 1),
-    cell AS (SELECT va.id AS q, cl.c, va.w AS x, coalesce(n.w, 0) AS w, f.f FROM va JOIN f USING (term) CROSS JOIN cl LEFT JOIN n ON n.c = cl.c AND n.term = va.term)"""
+_NB = f"""{_SPLIT}, n AS (SELECT f, c, term, sum(w) AS w FROM tn JOIN lab USING (id) GROUP BY ALL), ft AS (SELECT f, term, sum(w) AS ft FROM n GROUP BY ALL),
+    cl AS (SELECT f, c, count(*) AS k FROM (SELECT DISTINCT f, id FROM tn) JOIN lab USING (id) GROUP BY ALL), wc AS (SELECT f, c, sum(w) AS w FROM n GROUP BY ALL),
+    v AS (SELECT f, count(*) AS v, sum(ft) AS all_w FROM ft GROUP BY 1), kk AS (SELECT f, sum(k) AS kk FROM cl GROUP BY 1),
+    x AS (SELECT va.f, va.id AS q, term, va.w AS x, ft.ft FROM va JOIN ft USING (f, term)), own AS (SELECT x.f, q, n.c, x.x, n.w, ft FROM x JOIN n USING (f, term)),
+    qs AS (SELECT DISTINCT f, id AS q FROM va)"""
 _NB_END = """t AS (SELECT q, max(s) AS m FROM j GROUP BY 1), z AS (SELECT j.q, any_value(m) + ln(sum(exp(s - m))) AS z FROM j JOIN t USING (q) GROUP BY 1)
-    SELECT j.q AS query_id, j.c AS doc_id, round(s - z, 5) AS score FROM j JOIN z USING (q)"""
+    SELECT j.q AS query_id, j.c AS doc_id, round(s - z, 5) + 0.0 AS score FROM j JOIN z USING (q)"""
+
+
+def _mnb_sql(alpha: float) -> str:
+    return f"""WITH {_NB}, lx AS (SELECT f, q, sum(x) AS lx FROM x GROUP BY ALL), g AS (SELECT f, q, c, sum(x * (ln(w + {alpha}) - ln({alpha}))) AS g FROM own GROUP BY ALL),
+        j AS (SELECT qs.q, cl.c, ln(k / kk) + coalesce(lx, 0) * (ln({alpha}) - ln(wc.w + {alpha} * v)) + coalesce(g, 0) AS s
+              FROM qs JOIN cl USING (f) JOIN wc USING (f, c) JOIN v USING (f) JOIN kk USING (f) LEFT JOIN lx USING (f, q) LEFT JOIN g USING (f, q, c)), {_NB_END}"""
 
 
-@_query(f"""WITH {_NB}, j AS (SELECT q, cell.c, any_value(ln(k / (SELECT sum(k) FROM cl))) + sum(x * (ln(cell.w + 0.05) - ln(wc.w + 0.05 * (SELECT count(*) FROM f)))) AS s
-    FROM cell JOIN cl USING (c) JOIN wc USING (c) GROUP BY ALL), {_NB_END}""")
+def _cnb_sql(alpha: float) -> str:
+    return f"""WITH {_NB}, lx AS (SELECT f, q, sum(x) AS lx, sum(x * ln(ft + {alpha})) AS base FROM x GROUP BY ALL), g AS (SELECT f, q, c, sum(x * (ln(ft + {alpha}) - ln(ft + {alpha} - w))) AS g FROM own GROUP BY ALL),
+        j AS (SELECT qs.q, cl.c, coalesce(lx, 0) * ln(all_w + {alpha} * v - wc.w) - coalesce(base, 0) + coalesce(g, 0) AS s
+              FROM qs JOIN cl USING (f) JOIN wc USING (f, c) JOIN v USING (f) LEFT JOIN lx USING (f, q) LEFT JOIN g USING (f, q, c)), {_NB_END}"""
+
+
+@_query(_mnb_sql(0.05))
 def mnb_logproba(spark, d):
-    _, labels, valid, train = _split(spark, d)
-    return classify.multinomial_nb(valid, train, labels, 0.05).withColumn("score", F.round("score", 5))
+    return _every_fold(lambda v, t, y: classify.multinomial_nb(v, t, y, 0.05), *_turn_vectors(spark, d)).withColumn("score", F.round("score", 5) + 0.0)
 
 
-@_query(f"""WITH {_NB}, tot AS (SELECT sum(f) + count(*) AS a FROM f), j AS (SELECT q, cell.c, -sum(x * (ln(f + 1 - cell.w) - ln(a - wc.w))) AS s FROM cell JOIN wc USING (c), tot GROUP BY ALL), {_NB_END}""")
+@_query(_cnb_sql(1.0))
 def cnb_logproba(spark, d):
-    _, labels, valid, train = _split(spark, d)
-    return classify.complement_nb(valid, train, labels, 1.0).withColumn("score", F.round("score", 5))
+    return _every_fold(lambda v, t, y: classify.complement_nb(v, t, y, 1.0), *_turn_vectors(spark, d)).withColumn("score", F.round("score", 5) + 0.0)
+
+
+@_query(_cnb_sql(0.5))
+def cnb_05(spark, d):
+    return _every_fold(lambda v, t, y: classify.complement_nb(v, t, y, 0.5), *_turn_vectors(spark, d)).withColumn("score", F.round("score", 5) + 0.0)
 
 
 @_query()
 def svc_decision(spark, d):
-    _, labels, valid, train = _split(spark, d)
-    return classify.linear_svc(valid, train, labels.where("query_id % 5 <> 0"), 0.3).withColumn("score", F.round("score", 2))
+    return _every_fold(lambda v, t, y: classify.linear_svc(v, t, y, 0.3), *_turn_vectors(spark, d)).withColumn("score", F.round("score", 2))
+
+
+def _profile_sql(grams: Callable[[str], str | tuple[str, str]]) -> str:
+    """Profiles of conversations: three times the first turn, the training turns, 4,000 characters of all turns."""
+    return f"""WITH {_SPLIT}, head AS (SELECT c, string_agg(x, ' ' ORDER BY id) AS body, arg_min(x, id) AS title FROM d GROUP BY 1),
+        ex AS (SELECT fo.f, c, string_agg(x, ' ' ORDER BY id) AS ex FROM d JOIN fo ON d.f <> fo.f GROUP BY ALL),
+        p AS (SELECT fo.f, head.c, concat_ws(' ', title, title, title, ex, substr(body, 1, 4000)) AS px, fo.f * 1000000000 + head.c AS pid FROM fo, head LEFT JOIN ex ON ex.f = fo.f AND ex.c = head.c),
+        {_tf('pc', 'p', 'pid', grams('px'))}, {_tf('vc', 'd', 'id', grams('x')).replace("SELECT *, id AS id,", "SELECT *,")},
+        g AS (SELECT id // 1000000000 AS f, term, count(*) AS df, sum(tf) AS tf FROM pc GROUP BY ALL),
+        m AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY f ORDER BY tf DESC, term) <= 100000),
+        i AS (SELECT f, term, ln((1 + (SELECT count(*) FROM head)) / (1 + df)) + 1 AS idf FROM m),
+        a AS (SELECT i.f, pc.id, term, (1 + ln(tf)) * idf AS w FROM pc JOIN i USING (term) WHERE i.f = pc.id // 1000000000), av AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS u FROM a),
+        b AS (SELECT i.f, vc.id, term, (1 + ln(tf)) * idf AS w FROM vc JOIN i USING (term) WHERE i.f = vc.id % {FOLDS}), bv AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS u FROM b)
+        SELECT bv.id AS query_id, av.id % 1000000000 AS doc_id, round(sum(bv.u * av.u), 6) AS score FROM bv JOIN av USING (f, term) GROUP BY ALL"""
+
+
+def _profiles(spark: SparkSession, d: str, analyzer: str, low: int, high: int) -> DataFrame:
+    turns, fold = _turns(spark, d), evaluate.fold_of(F.col("query_id"), FOLDS)
+    ordered = F.array_sort(F.collect_list(F.struct("query_id", "query_clean")))
+    articles = cut(turns.groupBy("doc_id").agg(F.min_by("query_clean", "query_id").alias("title_clean"), F.array_join(F.transform(ordered, lambda x: x["query_clean"]), " ").alias("body_clean")))
+    out = None
+    for k in range(FOLDS):
+        profile = classify.profiles(articles, turns, turns.where(fold != k).select("query_id", "doc_id"))
+        one = classify.profile_scores(profile, turns.where(fold == k), F.col("query_clean"), analyzer, low, high)
+        out = one if out is None else out.unionByName(one)
+    return out.withColumn("score", F.round("score", 6))
+
+
+@_query(_profile_sql(lambda c: _words_sql(c, 1, 2)))
+def profile_word(spark, d):
+    return _profiles(spark, d, "word", 1, 2)
 
 
-@_query(f"""WITH {_BASE}, lab AS (SELECT doc_id AS id, substr(source, 4)::BIGINT AS c, title_clean FROM d WHERE doc_id % 5 <> 0),
-    p AS (SELECT c, string_agg(title_clean, ' ' ORDER BY id) AS x FROM lab GROUP BY 1), {_tf('pc', 'p', 'c', _words_sql('x', 1, 2))},
-    v AS (SELECT * FROM d WHERE doc_id % 5 = 0), {_tf('vc', 'v', 'doc_id', _words_sql('title_clean', 1, 2))},
-    m AS (SELECT term FROM pc GROUP BY term ORDER BY sum(tf) DESC, term LIMIT 100000), pm AS (SELECT pc.* FROM pc JOIN m USING (term)),
-    {_tfidf('a', 'pm', 'pm', 'SELECT count(*) FROM p')}, {_tfidf('b', 'pm', 'vc', 'SELECT count(*) FROM p')}
-    SELECT bv.id AS query_id, av.id AS doc_id, round(sum(bv.w * av.w), 6) AS score FROM bv JOIN av USING (term) GROUP BY ALL""")
-def profile_word(spark, d):
-    docs = _docs(spark, d)
-    labelled = docs.select(F.col("doc_id").alias("query_id"), F.col("title_clean").alias("query_clean"))
-    labels = _class_labels(docs).where("query_id % 5 <> 0")
-    classes = labels.select("doc_id").distinct().withColumns({"title_clean": F.lit(""), "body_clean": F.lit("")})
-    profile = classify.profiles(classes, labelled, labels)
-    return classify.profile_scores(profile, labelled.where("query_id % 5 = 0"), F.col("query_clean")).withColumn("score", F.round("score", 6))
+@_query(_profile_sql(lambda c: _chars_sql(c, 3, 6)))
+def profile_char(spark, d):
+    return _profiles(spark, d, "char_wb", 3, 6)
 
 
-@_query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e, label FROM embeddings WHERE embedding IS NOT NULL), s AS (SELECT a.vec_id AS q, b.vec_id AS t, b.label AS c, round(list_inner_product(a.e, b.e), 9) AS s FROM v a, v b WHERE a.vec_id % 5 = 0 AND b.vec_id % 5 <> 0),
-    n AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, t) AS r FROM s QUALIFY r <= 20), f AS (SELECT label AS c, count(*) AS k FROM embeddings WHERE vec_id % 5 <> 0 GROUP BY 1)
-    SELECT q AS query_id, c::BIGINT AS doc_id, round(sum(pow(greatest(s, 0), 8)) / pow(any_value(k), 0.3), 6) AS score FROM n JOIN f USING (c) GROUP BY q, c""")
+@_query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e, label FROM embeddings WHERE embedding IS NOT NULL),
+    s AS (SELECT a.vec_id AS q, b.vec_id AS t, b.label AS c, round(list_inner_product(a.e, b.e), 9) AS s FROM v a, v b WHERE a.vec_id % 5 <> b.vec_id % 5),
+    n AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, t) AS r FROM s QUALIFY r <= 20),
+    f AS (SELECT f, label AS c, count(*) AS k FROM embeddings JOIN (SELECT unnest(range(5)) AS f) ON vec_id % 5 <> f GROUP BY ALL)
+    SELECT q AS query_id, n.c::BIGINT AS doc_id, round(sum(pow(greatest(s, 0), 8)) / pow(any_value(k), 0.3), 6) AS score FROM n JOIN f ON f.c = n.c AND f.f = n.q % 5 GROUP BY q, n.c""")
 def dense_knn_label_transfer(spark, d):
+    """Every fold is answered by the other four."""
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding", F.col("label").cast("long").alias("doc_id"))
-    valid, train = vectors.where("query_id % 5 = 0"), vectors.where("query_id % 5 <> 0")
-    near = _nine(neighbors.nearest_vectors(valid, train, 20)).drop("rank")
-    return neighbors.semantic_scores(near, train.select("query_id", "doc_id")).withColumn("score", F.round("score", 6))
+
+    def answer(valid: DataFrame, train: DataFrame, labels: DataFrame) -> DataFrame:
+        return neighbors.semantic_scores(_nine(neighbors.nearest_vectors(valid, train, 20)).drop("rank"), labels)
+
+    return _every_fold(answer, vectors, vectors.select("query_id", "doc_id")).withColumn("score", F.round("score", 6))
 
 
 @_query()
 def lambda_rank(spark, d):
-    """A small boosted ranker on the pair features, trained on the items it ranks; scores are the model's own."""
-    docs, items = _docs(spark, d), _items(spark, d)
+    """A boosted ranker on the pair features, each half of the items ranked by the model of the other half."""
+    docs, items = _docs(spark, d, by_id=True), _items(spark, d)
     scores, labels = _sources(spark, d), _contained(docs, items)
     chosen = pairs.candidates(scores, ["bm25"], labels.select("doc_id"), items, labels)
-    rows = pairs.pair_features(chosen, scores, {"bm25": 0.0, "title_char": 0.0}, docs.count()).join(labels.withColumn("label", F.lit(1.0)), ["query_id", "doc_id"], "left").fillna(0.0, ["label"]).persist()
+    rows = pairs.pair_features(chosen, scores, {"bm25": 0.0, "title_char": 0.0}, docs.count()).join(labels.withColumn("label", F.lit(1.0)), ["query_id", "doc_id"], "left").fillna(0.0, ["label"])
+    rows = cut(rows)
     features = [c for c in rows.columns if c not in ("query_id", "doc_id", "label")]
-    model = ltr.LambdaMart(trees=3, depth=3).fit(rows, features)
-    return rank.top_k(model.predict(rows), 10).select("query_id", "doc_id", "score", "rank")
+    half, out = evaluate.fold_of(F.col("query_id"), 2), None
+    for k in range(2):
+        one = ltr.LambdaMart().fit(rows.where(half != k), features).predict(rows.where(half == k))
+        out = one if out is None else out.unionByName(one)
+    return rank.top_k(out, 10).select("query_id", "doc_id", "score", "rank")

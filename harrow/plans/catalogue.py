@@ -11,15 +11,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from harrow.functions import html as html_fields
 from harrow.functions.stem import stem_text
-from harrow.functions.text import normalize_text, remove_noise, shingles, title_of, token_count, tokens
+from harrow.functions.text import instruct, normalize_text, remove_noise, shingles, title_of, token_count, tokens
 from harrow.operators import classify, evaluate, graph, ltr, neighbors, pairs, rank, spell
 from harrow.operators.lineage import cut
-from harrow.operators.vector import BM25Index, TfidfIndex, dealt, fit_tfidf, term_counts, vocabulary
+from harrow.operators.vector import FIELDS, ArticleIndex, BM25Index, Field, TfidfIndex, dealt, fit_tfidf, term_counts, vocabulary
 from harrow.plans import runs
 from harrow.sources.tables import table
 
@@ -157,10 +157,10 @@ def _top(scores: str, k: int = 10) -> str:
     return f"(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM {scores} QUALIFY rank <= {k})"
 
 
-_indexes: dict[tuple, BM25Index | TfidfIndex] = {}
+_indexes: dict[tuple, ArticleIndex | BM25Index | TfidfIndex] = {}
 
 
-def _index(spark: SparkSession, d: str, name: str, fit: Callable[[DataFrame], BM25Index | TfidfIndex]):
+def _index(spark: SparkSession, d: str, name: str, fit: Callable[[DataFrame], ArticleIndex | BM25Index | TfidfIndex]):
     """The fitted index over a session's documents, used by several queries until the table is written anew."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/documents.parquet")
     status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
@@ -260,7 +260,15 @@ def stem_tokens(spark, d):
     return _items(spark, d).select("query_id", stem_text("query_clean").alias("query_stem"))
 
 
-@_query()
+@_query(f"""WITH {_BASE}, u AS (SELECT unnest({_TOKENS.format("title_clean || ' ' || body_clean")}) AS word FROM d), voc AS (SELECT word, count(*) AS n FROM u WHERE length(word) >= 4 GROUP BY 1),
+    w AS (SELECT query_id, unnest({_TOKENS.format('query_clean')}) AS w FROM q), lw AS (SELECT query_id, w FROM w QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY length(w) DESC, w) = 1),
+    t AS (SELECT q.query_id, CASE WHEN w IS NULL THEN NULL ELSE replace(query_clean, w, substr(w, 1, 2) || substr(w, 4)) END AS typed FROM q LEFT JOIN lw USING (query_id)),
+    tok AS (SELECT query_id, unnest({_TOKENS.format('typed')}) AS token, generate_subscripts({_TOKENS.format('typed')}, 1) AS pos FROM t),
+    odd AS (SELECT DISTINCT token FROM tok WHERE length(token) >= 4 AND NOT regexp_full_match(token, '[0-9]+') AND token NOT IN (SELECT word FROM voc)),
+    best AS (SELECT token, word FROM odd JOIN voc ON abs(length(token) - length(word)) <= 2 AND damerau_levenshtein(token, word) <= 2
+             QUALIFY row_number() OVER (PARTITION BY token ORDER BY damerau_levenshtein(token, word), n DESC, word) = 1),
+    done AS (SELECT query_id, string_agg(coalesce(word, token), ' ' ORDER BY pos) AS query_spell FROM tok LEFT JOIN best USING (token) GROUP BY 1)
+    SELECT query_id, typed, coalesce(query_spell, '') AS query_spell FROM t LEFT JOIN done USING (query_id)""")
 def spell_fix(spark, d):
     """Every item with a letter dropped from its longest word, corrected against the documents' words."""
     docs, items = _docs(spark, d), _items(spark, d)
@@ -433,6 +441,77 @@ def dataset_summary(spark, d):
     return parts.agg(F.count("*").alias("n_articles")).crossJoin(per_q).crossJoin(per_a)
 
 
+@_query("""SELECT l_partkey AS doc_id, count(DISTINCT l_orderkey) AS n, row_number() OVER (ORDER BY count(DISTINCT l_orderkey) DESC, l_partkey) AS rank FROM lineitem GROUP BY 1 ORDER BY rank LIMIT 15""")
+def label_bars(spark, d):
+    """The fifteen most frequent labels, as a bar chart shows them."""
+    counts = evaluate.label_counts(_order_labels(spark, d))
+    return counts.orderBy(F.desc("n"), "doc_id").limit(15).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "doc_id")))
+
+
+@_query(f"WITH {_BASE} SELECT query_id, 'query: ' || query_clean AS prompt FROM q")
+def instructed_queries(spark, d):
+    return _items(spark, d).select("query_id", instruct(F.col("query_clean")).alias("prompt"))
+
+
+@_query(f"""WITH {_CANDIDATES}, qt AS (SELECT query_id, unnest(list_distinct({_TOKENS.format('query_clean')})) AS t FROM q), n AS (SELECT query_id, count(*) AS n FROM qt GROUP BY 1),
+    tt AS (SELECT doc_id, unnest(list_distinct({_TOKENS.format('title_clean')})) AS t FROM d), bt AS (SELECT doc_id, unnest(list_distinct({_TOKENS.format('body_clean')})) AS t FROM d),
+    a AS (SELECT query_id, doc_id, count(*) AS c FROM qt JOIN tt USING (t) GROUP BY ALL), b AS (SELECT query_id, doc_id, count(*) AS c FROM qt JOIN bt USING (t) GROUP BY ALL)
+    SELECT query_id, doc_id, round(coalesce(a.c, 0) / greatest(n, 1), 6) AS title_token_recall, round(coalesce(b.c, 0) / greatest(n, 1), 6) AS body_token_recall, round(ln(1 + length(title_clean)), 6) AS title_length,
+           round(ln(1 + length(body_clean)), 6) AS body_length, round(ln(1 + length(query_clean)), 6) AS query_length, round(ln(1 + len({_TOKENS.format('query_clean')})), 6) AS query_tokens
+    FROM cand JOIN q USING (query_id) JOIN d USING (doc_id) LEFT JOIN n USING (query_id) LEFT JOIN a USING (query_id, doc_id) LEFT JOIN b USING (query_id, doc_id)""")
+def pair_metadata(spark, d):
+    docs, items = cut(_docs(spark, d, by_id=True)), _items(spark, d)
+    labels = _contained(docs, items)
+    chosen = pairs.candidates(_sources(spark, d), ["bm25"], labels.select("doc_id"), items, labels)
+    out = pairs.metadata(chosen.select("query_id", "doc_id"), items, docs)
+    return out.withColumns({c: F.round(c, 6) for c in out.columns if c not in ("query_id", "doc_id")})
+
+
+@_query(f"WITH {_BM25} SELECT query_id, doc_id, coalesce(round(t.score, 6), -1e6) AS score FROM q CROSS JOIN (SELECT doc_id FROM d) LEFT JOIN {_top('bm25', 20)} t USING (query_id, doc_id)")
+def predict_fill(spark, d):
+    """Scores of every document, those that are no candidates at the fill."""
+    best = rank.top_k(_bm25(spark, d), 20).select("query_id", "doc_id", _six("score"))
+    return rank.densify(best, _items(spark, d), table(spark, d, "documents").select("doc_id"), ltr.MISSING)
+
+
+# All lexical fields.  A document's tokens 9 to 20 stand for its headings, 21 to 30 for anchors, 31 to 40 for
+# image texts and its first 1,200 characters for the opening; stems are the words themselves.
+
+_PARTS = f"""{_BASE}, art AS (SELECT doc_id, title_clean, body_clean, title_clean AS title_stem, body_clean AS body_stem, substr(body_clean, 1, 1200) AS intro_clean,
+    array_to_string(({_TOKENS.format("body_clean")})[9:20], ' ') AS important_clean, array_to_string(({_TOKENS.format("body_clean")})[21:30], ' ') AS anchor_clean,
+    array_to_string(({_TOKENS.format("body_clean")})[31:40], ' ') AS alt_clean FROM d)"""
+
+
+def _field_sql(f: Field, tag: str) -> str:
+    """CTEs that end in ``s{tag}(query_id, doc_id, score)``."""
+    grams = (lambda c: _words_sql(c, f.low, f.high)) if f.analyzer == "word" else (lambda c: _chars_sql(c, f.low, f.high))
+    text = ", ".join(f"substr({c}, 1, {f.chars})" if f.chars and c == "body_clean" else c for c in f.parts)
+    base = f"""t{tag} AS (SELECT doc_id, concat_ws(' ', {text}) AS x FROM art), {_tf(f'c{tag}', f't{tag}', 'doc_id', grams('x'))}, {_tf(f'q{tag}', 'q', 'query_id', grams('query_clean'))},
+        m{tag} AS (SELECT term, count(*) AS df FROM c{tag} GROUP BY term HAVING count(*) >= {f.min_df} ORDER BY sum(tf) DESC, term LIMIT {f.max_features}),
+        k{tag} AS (SELECT c{tag}.*, df FROM c{tag} JOIN m{tag} USING (term))"""
+    if f.bm25:
+        return f"""{base}, l{tag} AS (SELECT id, sum(tf) AS dl FROM k{tag} GROUP BY id),
+            s{tag} AS (SELECT q{tag}.id AS query_id, k{tag}.id AS doc_id, round(sum(q{tag}.tf * k{tag}.tf * 2.5 / (k{tag}.tf + 1.5 * (0.25 + 0.75 * dl / greatest((SELECT sum(dl) FROM l{tag}) / (SELECT count(*) FROM art), 1)))
+                * ln(1 + ((SELECT count(*) FROM art) - df + 0.5) / (df + 0.5))), 9) AS score FROM q{tag} JOIN k{tag} USING (term) JOIN l{tag} ON l{tag}.id = k{tag}.id GROUP BY ALL)"""
+    n = "SELECT count(*) FROM art"
+    return f"""{base}, {_tfidf(f'd{tag}', f'k{tag}', f'k{tag}', n)}, {_tfidf(f'e{tag}', f'k{tag}', f'q{tag}', n)},
+        s{tag} AS (SELECT e{tag}v.id AS query_id, d{tag}v.id AS doc_id, round(sum(e{tag}v.w * d{tag}v.w), 9) AS score FROM e{tag}v JOIN d{tag}v USING (term) GROUP BY ALL)"""
+
+
+_ALL_FIELDS = "UNION ALL".join(f" SELECT query_id, doc_id, '{f.name}' AS source, round(score, 6) AS score, rank FROM {_top(f's_{k}', 5)} " for k, f in enumerate(FIELDS))
+
+
+@_query(f"WITH {_PARTS}, {', '.join(_field_sql(f, f'_{k}') for k, f in enumerate(FIELDS))} {_ALL_FIELDS}")
+def lexical_fields(spark, d):
+    """The five best documents of every item by each of the fifteen lexical sources."""
+    docs, items = _docs(spark, d, by_id=True), _items(spark, d)
+    piece = lambda a, n: F.array_join(F.slice(tokens(F.col("body_clean")), a, n), " ")
+    docs = docs.withColumns({"title_stem": F.col("title_clean"), "body_stem": F.col("body_clean"), "important_clean": piece(9, 12), "anchor_clean": piece(21, 10), "alt_clean": piece(31, 10), "intro_clean": F.substring("body_clean", 1, 1200)})
+    index = _index(spark, d, "fields", lambda _: ArticleIndex(FIELDS).fit(docs, "doc_id"))
+    scores = _nine(index.score(items.withColumn("query_stem", F.col("query_clean")), "query_id"))
+    return rank.top_k(scores, 5, ("query_id", "source")).select("query_id", "doc_id", "source", _six("score"), "rank")
+
+
 # Graphs.
 
 _LAB = "l AS (SELECT DISTINCT l_orderkey AS q, l_partkey AS a FROM lineitem)"

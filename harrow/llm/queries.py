@@ -106,23 +106,32 @@ def _licenses_sql() -> str:
     return f"""
         WITH tw AS (SELECT name, {words("txt")} AS w FROM (VALUES {rows}) v(name, txt)),
         tb AS (SELECT name, len(w) - 1 AS tn, w[k] || ' ' || w[k + 1] AS g, count(*) AS tc FROM tw, unnest(range(1, len(w))) r(k) GROUP BY ALL),
-        lines AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s, text FROM documents),
-        units AS (SELECT doc_id, i - 1 AS line, s[i] AS u FROM lines, unnest(range(1, len(s) + 1)) r(i)
-                  UNION ALL SELECT doc_id, -1, text FROM lines WHERE len(s) > 1),
-        uw AS (SELECT doc_id, line, {words("u")} AS w FROM units),
-        near AS (SELECT * FROM uw WHERE len(w) - 1 BETWEEN 1 AND (SELECT max(tn) * 1.1 / 0.9 + 1 FROM tb)),
-        ub AS (SELECT doc_id, line, len(w) - 1 AS n, w[k] || ' ' || w[k + 1] AS g, count(*) AS c FROM near, unnest(range(1, len(w))) r(k) GROUP BY ALL),
-        d AS (SELECT doc_id, line, name, 2 * sum(least(c, tc))::DOUBLE / (any_value(n) + any_value(tn)) AS dice
-              FROM ub JOIN tb USING (g) GROUP BY doc_id, line, name),
-        best AS (SELECT doc_id, line, name, dice FROM d WHERE dice >= 0.9
-                 QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY dice DESC, name) = 1),
-        top AS (SELECT doc_id, line, name, dice, count(*) OVER (PARTITION BY doc_id) AS n FROM best
-                QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, line) = 1)
-        SELECT documents.doc_id, name AS license, dice AS score, line::INTEGER AS line, coalesce(n, 0) AS n_matches
-        FROM documents LEFT JOIN top USING (doc_id)
+        lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS u, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line FROM documents),
+        lw AS (SELECT doc_id, line, unnest(x) AS w, generate_subscripts(x, 1) AS k FROM (SELECT doc_id, line, {words("u")} AS x FROM lines)),
+        pw AS (SELECT doc_id, line, w, row_number() OVER (PARTITION BY doc_id ORDER BY line, k) AS p FROM lw),
+        bg AS (SELECT doc_id, p, line, lead(line) OVER o AS next_line, w || ' ' || lead(w) OVER o AS g FROM pw WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+        hit AS (SELECT doc_id, p, line, next_line, name, g, tn, tc FROM bg JOIN tb USING (g)),
+        near AS (SELECT doc_id, name FROM (SELECT doc_id, name, tn, least(count(*), any_value(tc)) AS c FROM hit GROUP BY doc_id, name, tn, g) GROUP BY doc_id, name, tn HAVING sum(c) >= tn * 0.9 / 1.1),
+        edge AS (SELECT doc_id, line, min(p) AS first_p, max(p) AS last_p FROM pw GROUP BY ALL),
+        a AS (SELECT DISTINCT doc_id, name, tn, line FROM hit SEMI JOIN near USING (doc_id, name)), z AS (SELECT DISTINCT doc_id, name, next_line AS line FROM hit SEMI JOIN near USING (doc_id, name)),
+        runs AS (SELECT a.doc_id, a.name, a.tn, a.line AS la, z.line AS lz, x.first_p, y.last_p, y.last_p - x.first_p AS n FROM a JOIN z ON a.doc_id = z.doc_id AND a.name = z.name AND z.line >= a.line
+                 JOIN edge x ON x.doc_id = a.doc_id AND x.line = a.line JOIN edge y ON y.doc_id = z.doc_id AND y.line = z.line
+                 WHERE y.last_p - x.first_p BETWEEN greatest(a.tn * 0.9 / 1.1, 1) AND a.tn * 1.1 / 0.9),
+        c AS (SELECT r.doc_id, r.name, r.tn, la, lz, n, least(count(*), any_value(tc)) AS c FROM runs r JOIN hit h ON h.doc_id = r.doc_id AND h.name = r.name AND h.p >= first_p AND h.p < last_p
+              GROUP BY r.doc_id, r.name, r.tn, la, lz, n, g),
+        d AS (SELECT doc_id, name, la, lz, 2 * sum(c)::DOUBLE / (tn + n) AS dice FROM c GROUP BY doc_id, name, la, lz, tn, n HAVING 2 * sum(c)::DOUBLE / (tn + n) >= 0.9),
+        top AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, la, lz, name) = 1),
+        m AS (SELECT doc_id, count(DISTINCT k) AS m FROM d, unnest(range(la, lz + 1)) r(k) GROUP BY doc_id)
+        SELECT documents.doc_id, name AS license, dice AS score, la::INTEGER AS line, (lz - la + 1)::INTEGER AS n_lines, coalesce(m, 0) AS n_matched
+        FROM documents LEFT JOIN top USING (doc_id) LEFT JOIN m USING (doc_id)
     """
 
 
+_WORDS = "list_filter(regexp_split_to_array({0}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+#: Four letters of base32 from each five hexadecimal digits.
+_BASE32 = "array_to_string(list_transform(range(8), lambda k: array_to_string(list_transform([15, 10, 5, 0], lambda s: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((('0x' || substr({0}, 5 * k + 1, 5))::INT >> s) & 31) + 1]), '')), '')"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_licenses": _licenses_sql(),
@@ -132,4 +141,29 @@ def oracle_sql() -> dict[str, str]:
             SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t.x) AS text_sha256
             FROM t JOIN g ON t.x = g.x
         """,
+        "op4_warc": f"""
+            WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, coalesce(html, '') AS x FROM pages),
+                 g AS (SELECT x, max(page_id) AS first FROM p GROUP BY x)
+            SELECT page_id, payload_bytes, {_BASE32.format("upper(sha1(x))")} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+                   CASE WHEN page_id <> first THEN first END AS refers_to
+            FROM p JOIN g USING (x)
+        """,
+        "op5_vectors": """
+            WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL),
+                 u AS (SELECT * FROM v WHERE list_bool_and(list_transform(e, lambda x: coalesce(isfinite(x), false))) AND list_bool_or(list_transform(e, lambda x: x <> 0))),
+                 l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93),
+                 r(n, m) AS (SELECT a, b FROM l UNION SELECT r.n, l.b FROM r JOIN l ON l.a = r.m),
+                 c AS (SELECT n, least(n, min(m)) AS component FROM r GROUP BY n)
+            SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = vec_id) AS n_links, coalesce(component, vec_id) AS component_id, coalesce(component, vec_id) = vec_id AS kept
+            FROM embeddings LEFT JOIN c ON c.n = vec_id
+        """,
+        "op9_substring": f"""
+            WITH d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+                 g AS (SELECT doc_id, i, w[i : i + 12] AS x FROM d, unnest(range(1, len(w) - 11)) t(i) WHERE len(w) >= 13),
+                 f AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY x) AS first FROM g),
+                 gone AS (SELECT DISTINCT doc_id, i + k AS pos FROM f, range(13) t(k) WHERE first < doc_id),
+                 rem AS (SELECT doc_id, list(pos) AS gone FROM gone GROUP BY 1),
+                 kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY pos) AS x FROM (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS pos FROM d) ANTI JOIN gone USING (doc_id, pos) GROUP BY 1)
+            SELECT doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed, sha256(coalesce(x, '')) AS kept_sha256 FROM d LEFT JOIN rem USING (doc_id) LEFT JOIN kept USING (doc_id)
+        """,
     }

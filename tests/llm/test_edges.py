@@ -173,8 +173,8 @@ def test_vectors(spark):
 
 def test_licenses(docs, empty):
     by = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
-    assert (by[6]["license"], by[6]["line"], by[6]["score"], by[6]["n_matches"]) == ("MIT", 0, 1.0, 1)
-    assert by[3]["license"] is None and by[4]["n_matches"] == 0 and by[5]["license"] is None
+    assert (by[6]["license"], by[6]["line"], by[6]["score"], by[6]["n_matched"]) == ("MIT", 0, 1.0, 1)
+    assert by[3]["license"] is None and by[4]["n_matched"] == 0 and by[5]["license"] is None
     assert licenses.scan(empty).count() == 0
     with pytest.raises(ValueError):
         licenses.scan(docs, threshold=0)

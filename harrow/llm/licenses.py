@@ -110,7 +110,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     """``(id, license, score, line, n_lines, n_matched)`` of every row.
 
     ``line`` is the 0-based line where the best match begins and ``n_lines`` its lines; of equals the first,
-    then the shortest, then the first by name.  ``n_matched`` counts the lines that lie in matching runs.
+    then the longest, then the first by name.  ``n_matched`` counts the lines that lie in matching runs.
     A text without match, null and empty ones included, has nulls and 0.  Repeated rows and null ids
     give rows of their own, long texts are read whole, other columns, whatever their names, are
     ignored, and an empty table gives an empty table.
@@ -122,7 +122,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
             out = []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 hits = matcher.runs(text or b"")
-                dice, line, n, name = min(hits, key=lambda h: (-h[0], *h[1:]), default=(None, None, None, None))
+                dice, line, n, name = min(hits, key=lambda h: (-h[0], h[1], -h[2], h[3]), default=(None, None, None, None))
                 out.append((name, dice, line, n, len({k for _, a, m, _ in hits for k in range(a, a + m)})))
             if not out:
                 continue

@@ -120,7 +120,7 @@ def _licenses_sql() -> str:
         c AS (SELECT r.doc_id, r.name, r.tn, la, lz, n, least(count(*), any_value(tc)) AS c FROM runs r JOIN hit h ON h.doc_id = r.doc_id AND h.name = r.name AND h.p >= first_p AND h.p < last_p
               GROUP BY r.doc_id, r.name, r.tn, la, lz, n, g),
         d AS (SELECT doc_id, name, la, lz, 2 * sum(c)::DOUBLE / (tn + n) AS dice FROM c GROUP BY doc_id, name, la, lz, tn, n HAVING 2 * sum(c)::DOUBLE / (tn + n) >= 0.9),
-        top AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, la, lz, name) = 1),
+        top AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, la, lz DESC, name) = 1),
         m AS (SELECT doc_id, count(DISTINCT k) AS m FROM d, unnest(range(la, lz + 1)) r(k) GROUP BY doc_id)
         SELECT documents.doc_id, name AS license, dice AS score, la::INTEGER AS line, (lz - la + 1)::INTEGER AS n_lines, coalesce(m, 0) AS n_matched
         FROM documents LEFT JOIN top USING (doc_id) LEFT JOIN m USING (doc_id)

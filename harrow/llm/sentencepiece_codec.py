@@ -8,10 +8,14 @@ merged in that round, so the result is the one-at-a-time result exactly.
 
 No piece holds a space after another character, nor a line end, so texts are split there and each
 distinct word is encoded once for a slice of documents.  Decoding gathers piece bytes by id.
+
+A word of very many characters would take nearly as many rounds as it has distinct pairs, each over the
+whole word, so words over ``LONG_WORD`` characters take their merges one at a time from a heap instead.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -24,6 +28,8 @@ SPACE = "▁"
 NONE = np.int32(2**31 - 1)
 #: Characters of text handled at once, and words whose ids a worker remembers.
 SLICE_CHARS, CACHE_WORDS = 2_000_000, 300_000
+#: Words of more characters are merged by a heap.
+LONG_WORD = 256
 
 
 class Codec:
@@ -52,7 +58,8 @@ class Codec:
         if (self.byte_ids < 0).any():
             raise ValueError("the model has no byte fallback")
         # a b: neither merged spaces nor folded letters, and one space is put before the text
-        if sp.encode("  ﬁ ", out_type=str) != sp.encode("  ﬁ ", out_type=str) or sp.decode(sp.encode("  ﬁ a  ")) != "  ﬁ a  ":
+        sample = "  ﬁ ＡÅ² a  "
+        if sp.decode(sp.encode(sample)) != sample:
             raise ValueError("models that normalise text are not supported")
         if any(re.search(f"[^{SPACE}]{SPACE}|\n", p) for i, p in enumerate(pieces) if normal[i]):
             raise ValueError("pieces that span words are not supported")
@@ -93,6 +100,7 @@ class Codec:
         self.text_bytes = np.frombuffer(b"".join(texts), dtype=np.uint8)
         self.text_len = np.array([len(t) for t in texts], dtype=np.int64)
         self.text_at = np.concatenate([[0], np.cumsum(self.text_len)[:-1]])
+        self.merges = dict(zip(self.keys.tolist(), zip(rank[self.made].tolist(), self.made.tolist(), strict=True), strict=True))
         self.is_byte = np.zeros(n, dtype=bool)
         self.is_byte[self.byte_ids] = True
         self.starts_with_space = np.array([t[:1] == b" " for t in texts])
@@ -105,11 +113,47 @@ class Codec:
         piece = np.where(self.keys[at] == key, self.made[at], -1)
         return np.where(piece >= 0, self.rank[piece], NONE), piece
 
+    def _merge_long(self, sym: np.ndarray) -> np.ndarray:
+        """The symbols that are left of one word; a pair's cost grows with the logarithm of the word's length."""
+        syms, n = sym.tolist(), len(sym)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        ranks, pieces = self._pairs(sym[:-1], sym[1:])
+        at = np.flatnonzero(ranks != NONE)
+        heap = list(zip(ranks[at].tolist(), at.tolist(), sym[at].tolist(), sym[at + 1].tolist(), pieces[at].tolist(), strict=True))
+        heapq.heapify(heap)
+        while heap:
+            _, i, left, right, piece = heapq.heappop(heap)
+            j = after[i]
+            if syms[i] != left or j >= n or syms[j] != right:
+                continue
+            syms[i], syms[j], after[i] = piece, -1, after[j]
+            if after[j] < n:
+                before[after[j]] = i
+            for a, b in ((before[i], i), (i, after[i])):
+                if a >= 0 and b < n and syms[a] < self.other and syms[b] < self.other and (made := self.merges.get(syms[a] * int(self.base) + syms[b])):
+                    heapq.heappush(heap, (made[0], a, syms[a], syms[b], made[1]))
+        return np.array([s for s in syms if s >= 0], dtype=np.int32)
+
     def encode_words(self, words: list[str]) -> list[bytes]:
         """Ids of each word as little-endian 32-bit integers; a word is not empty."""
+        out = [b""] * len(words)
+        short = [i for i, w in enumerate(words) if len(w) <= LONG_WORD]
+        for i, ids in zip(short, self._encode_short([words[i] for i in short]), strict=True):
+            out[i] = ids
+        for i, w in enumerate(words):
+            if len(w) > LONG_WORD:
+                left = self._merge_long(self._symbols(w))
+                out[i] = self._with_bytes(np.zeros(len(left), dtype=np.int32), left)[1].astype("<i4").tobytes()
+        return out
+
+    def _symbols(self, text: str) -> np.ndarray:
+        return self.char[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+
+    def _encode_short(self, words: list[str]) -> list[bytes]:
+        """Ids of each word by merge rounds over all words at once."""
         if not words:
             return []
-        sym = self.char[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+        sym = self._symbols("".join(words))
         word = np.repeat(np.arange(len(words), dtype=np.int32), [len(w) for w in words])
         last = np.empty(len(sym), dtype=bool)
         last[:-1], last[-1] = word[1:] != word[:-1], True

@@ -54,15 +54,14 @@ def pair_features(pairs: DataFrame, scores: DataFrame, sources: dict[str, float]
     summary is mean, greatest, population deviation and how many ranks reach each threshold.
     """
     by = ("query_id", "source")
-    parts = None
-    for name, value in sources.items():
-        one = z_scores(scores.where(F.col("source") == name), n_docs, value, by)
-        parts = one if parts is None else parts.unionByName(one)
+    names = list(sources)
+    scores = scores.where(F.col("source").isin(names))
+    fill = F.element_at(F.create_map(*[F.lit(x) for n in names for x in (n, float(sources[n]))]), F.col("source"))
+    parts = z_scores(scores, n_docs, fill, by)
     ranks = reciprocal_rank(scores, 100, 10, by).withColumnRenamed("score", "rr")
     long = parts.join(ranks.select("query_id", "doc_id", "source", "rr"), ["query_id", "doc_id", "source"], "left").withColumn("rr", F.coalesce("rr", F.lit(0.0)))
     # A source may hold no row of a pair, but some of the query: its z-score of the fill is the query's.
     fills = long.groupBy("query_id", "source").agg(F.first("z_fill").alias("z_fill"))
-    names = list(sources)
     wide = pairs.join(
         long.groupBy("query_id", "doc_id").pivot("source", names).agg(F.first("score").alias("s"), F.first("rr").alias("rr"), F.first("z").alias("z")), ["query_id", "doc_id"], "left"
     ).join(fills.groupBy("query_id").pivot("source", names).agg(F.first("z_fill")).select("query_id", *(F.col(f"`{n}`").alias(f"{n}__fill") for n in names)), "query_id", "left")

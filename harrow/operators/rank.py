@@ -52,14 +52,15 @@ def densify(scores: DataFrame, queries: DataFrame, docs: DataFrame, fill: float)
     return pairs.join(scores, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.coalesce("score", F.lit(float(fill))).alias("score"))
 
 
-def z_scores(scores: DataFrame, n_docs: Column | int, fill: float = 0.0, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
+def z_scores(scores: DataFrame, n_docs: Column | int, fill: Column | float = 0.0, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """Scores less the query's mean over its population standard deviation plus 1e-6.
 
     The moments count the ``n_docs`` documents of the table, those without a row at ``fill``, so
     nothing is densified; rows without a score have the z-score of ``fill``, which ``z_fill`` gives.
+    A fill that is a column may use the columns of ``by`` alone.
     """
     n = n_docs if isinstance(n_docs, Column) else F.lit(n_docs)
-    rest, fill_c = n - F.count("*"), F.lit(float(fill))
+    rest, fill_c = n - F.count("*"), fill if isinstance(fill, Column) else F.lit(float(fill))
     moments = scores.groupBy(*by).agg(((F.sum("score") + fill_c * rest) / n).alias("__mean"), F.count("*").alias("__present"), F.var_pop("score").alias("__var"), F.avg("score").alias("__own"))
     share = F.col("__present") / n
     # The variance of two groups: within the present rows, and between them and the fill.

@@ -85,7 +85,8 @@ def describe(unique: DataFrame, points: dict[int, np.ndarray], nearest: int, lea
                         perm[i], covered[i] = p[: k if c else max(k, nearest)].tolist(), c
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(perm, pa.list_(pa.int32())), pa.array(covered, pa.bool_())], names=[*batch.schema.names, "perm", "covered"])
 
-    return unique.select("label", "v", "node", "copies").mapInArrow(run, "label string, v array<double>, node long, copies long, perm array<int>, covered boolean")
+    rows = unique.select("label", "v", "node", "copies")
+    return rows.mapInArrow(run, f"label string, v {unique.schema['v'].dataType.simpleString()}, node long, copies long, perm array<int>, covered boolean")
 
 
 class _Found:
@@ -183,8 +184,10 @@ def group_vectors(
     Vectors that are null, zero or hold null or non-finite components, and rows without label or id,
     link with nothing: no links, their own component, kept.  Equal vectors are found by grouping, so
     a group of copies is one entry of the index; ``n_links`` counts its members.  Ids must be whole numbers.
+    Vectors of floats travel as such; every product is taken in double precision.
     """
-    rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).cast("string").alias("label"))
+    kind = "array<float>" if table.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("v"), F.col(label_col).cast("string").alias("label"))
     rows = rows.withColumn("v", F.when(_usable("v", "label", "id"), F.col("v")))
     # A vector of a label is a node of its own; its number is fixed as the table is written.
     unique = rows.where("v IS NOT NULL").groupBy("label", "v").agg(F.min("id").alias("least"), F.count("*").alias("copies")).withColumn("node", F.monotonically_increasing_id())

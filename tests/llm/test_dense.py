@@ -28,3 +28,15 @@ def test_vectors_of_a_dense_group(spark, hot):
     assert found[~dense].sum() >= 0.9 * want[~dense].sum()
     linked = {got[i]["component_id"] for i in at if want[i]}
     assert len(linked) == 1
+
+
+def test_floats_give_the_links_of_doubles(spark):
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(400, 16)).astype(np.float32)
+    v[200:] = v[:200] + rng.normal(size=(200, 16)).astype(np.float32) * np.float32(0.25)
+    rows = [(i, [float(x) for x in r], i % 2) for i, r in enumerate(v)]
+    rows += [(400, None, 0), (401, [0.0] * 16, 0), (402, [float("nan")] + [1.0] * 15, 0), (403, rows[0][1], 0), (404, [1e-30] * 16, None)]
+    tables = [spark.createDataFrame(rows, f"vec_id long, embedding array<{t}>, label int") for t in ("float", "double")]
+    one, two = ({r["vec_id"]: tuple(r) for r in vector_dedup.group_vectors(t, least=0.93).collect()} for t in tables)
+    assert one == two and len(one) == len(rows)
+    assert one[403][1] >= 1 and one[400][1:] == (0, 400, True)

@@ -197,6 +197,8 @@ def group_vectors(
     entries = scratch.materialize(describe(unique.drop("least"), points, nearest, least), "vectors")
     posted = entries.withColumn("pivot", F.explode("perm"))
     sizes = entries.select("label", F.explode("perm").alias("pivot")).groupBy("label", "pivot").agg(F.ceil(F.count("*") / F.lit(LIST_ROWS)).cast("int").alias("parts"))
+    # Written, so that by its size it is broadcast where it is small and the vectors are not shuffled to meet it.
+    sizes = scratch.materialize(sizes, "vectors")
     posted = posted.join(sizes, ["label", "pivot"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     cells = posted.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     cells = cells.select("label", "pivot", F.least("part", "with").alias("low"), F.greatest("part", "with").alias("high"), "node", "v", "copies", "perm", "part", "covered")

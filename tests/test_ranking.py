@@ -207,3 +207,41 @@ def test_stream(spark, tmp_path):
     stream = spark.readStream.schema("query_id long, query_text string").parquet(str(tmp_path / "in"))
     answer_stream(stream, lambda q: index.score(q, "query_id", F.col("query_clean")), lambda df, n: got.extend(df.collect()), str(tmp_path / "check")).awaitTermination()
     assert {(r["query_id"], r["answer"]) for r in got} == {(1, "1"), (2, "2")}
+
+
+def test_lambdas_of_many_rows_by_brute_force():
+    rng = np.random.default_rng(2)
+    score, label = np.round(rng.normal(size=60), 1), rng.integers(0, 3, 60).astype(float)
+    rank_ = np.empty(60)
+    rank_[np.lexsort((np.arange(60), -score))] = np.arange(60)
+    gain, ideal = 2.0**label - 1, ((2.0 ** np.sort(label)[::-1] - 1) / np.log2(np.arange(60) + 2)).sum()
+    want, curve = np.zeros(60), np.zeros(60)
+    for i in range(60):
+        for j in range(60):
+            if label[i] > label[j]:
+                change = abs((gain[i] - gain[j]) * (1 / np.log2(rank_[i] + 2) - 1 / np.log2(rank_[j] + 2))) / ideal
+                p = 1 / (1 + np.exp(score[i] - score[j]))
+                want += change * p * ((np.arange(60) == i) * 1.0 - (np.arange(60) == j))
+                curve += change * p * (1 - p) * ((np.arange(60) == i) * 1.0 + (np.arange(60) == j))
+    g, h = ltr.lambdas(score, label)
+    assert g == pytest.approx(want) and h == pytest.approx(curve)
+
+
+def test_lambdas_take_no_room_with_the_square_of_the_rows():
+    import tracemalloc
+
+    label = np.zeros(4000)
+    label[:3] = 1.0
+    tracemalloc.start()
+    ltr.lambdas(np.linspace(0, 1, 4000), label)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 20_000_000  # all pairs of 4,000 rows take 128 MB a matrix
+
+
+def test_features_read_no_score_table_more_than_four_times(spark, tmp_path):
+    spark.createDataFrame([(1, 1, "s", 2.0), (1, 2, "s", 1.0), (2, 5, "s", 1.0)], "query_id long, doc_id long, source string, score double").write.parquet(str(tmp_path / "s"))
+    table = spark.read.parquet(str(tmp_path / "s"))
+    chosen = spark.createDataFrame([(1, 1), (1, 3)], "query_id long, doc_id long")
+    plan = pairs.pair_features(chosen, table, {"s": 0.0}, 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") <= 4 and "LeftSemi" in plan

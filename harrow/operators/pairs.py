@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harrow.functions.text import tokens
-from harrow.operators.rank import reciprocal_rank, top_k, z_scores
+from harrow.operators.rank import reciprocal_rank, top_k, z_moments
 
 # How deep a source is taken for candidates, and the rank thresholds that are counted.
 STATIC_DEPTH, QUERY_DEPTH = 20, 30
@@ -57,11 +57,14 @@ def pair_features(pairs: DataFrame, scores: DataFrame, sources: dict[str, float]
     names = list(sources)
     scores = scores.where(F.col("source").isin(names))
     fill = F.element_at(F.create_map(*[F.lit(x) for n in names for x in (n, float(sources[n]))]), F.col("source"))
-    parts = z_scores(scores, n_docs, fill, by)
+    # Of all scores only moments and the best ranks are taken; what is joined and pivoted are the pairs' own.
+    moments = z_moments(scores, n_docs, fill, by)
     ranks = reciprocal_rank(scores, 100, 10, by).withColumnRenamed("score", "rr")
-    long = parts.join(ranks.select("query_id", "doc_id", "source", "rr"), ["query_id", "doc_id", "source"], "left").withColumn("rr", F.coalesce("rr", F.lit(0.0)))
+    own = scores.join(pairs.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"], "left_semi")
+    long = own.join(ranks.select("query_id", "doc_id", "source", "rr"), ["query_id", "doc_id", "source"], "left").withColumn("rr", F.coalesce("rr", F.lit(0.0)))
+    long = long.join(moments, list(by)).withColumn("z", (F.col("score") - F.col("mean")) / F.col("spread"))
     # A source may hold no row of a pair, but some of the query: its z-score of the fill is the query's.
-    fills = long.groupBy("query_id", "source").agg(F.first("z_fill").alias("z_fill"))
+    fills = moments.select("query_id", "source", "z_fill")
     wide = pairs.join(
         long.groupBy("query_id", "doc_id").pivot("source", names).agg(F.first("score").alias("s"), F.first("rr").alias("rr"), F.first("z").alias("z")), ["query_id", "doc_id"], "left"
     ).join(fills.groupBy("query_id").pivot("source", names).agg(F.first("z_fill")).select("query_id", *(F.col(f"`{n}`").alias(f"{n}__fill") for n in names)), "query_id", "left")

@@ -52,6 +52,18 @@ def densify(scores: DataFrame, queries: DataFrame, docs: DataFrame, fill: float)
     return pairs.join(scores, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.coalesce("score", F.lit(float(fill))).alias("score"))
 
 
+def z_moments(scores: DataFrame, n_docs: Column | int, fill: Column | float = 0.0, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """``(*by, mean, spread, z_fill)``: one row a query, what ``z_scores`` takes scores by."""
+    n = n_docs if isinstance(n_docs, Column) else F.lit(n_docs)
+    rest, fill_c = n - F.count("*"), fill if isinstance(fill, Column) else F.lit(float(fill))
+    moments = scores.groupBy(*by).agg(((F.sum("score") + fill_c * rest) / n).alias("__mean"), F.count("*").alias("__present"), F.var_pop("score").alias("__var"), F.avg("score").alias("__own"))
+    share = F.col("__present") / n
+    # The variance of two groups: within the present rows, and between them and the fill.
+    spread = F.sqrt(share * F.col("__var") + share * (1 - share) * F.pow(F.col("__own") - fill_c, 2)) + 1e-6
+    named = moments.withColumn("__spread", spread)
+    return named.select(*by, F.col("__mean").alias("mean"), F.col("__spread").alias("spread"), ((fill_c - F.col("__mean")) / F.col("__spread")).alias("z_fill"))
+
+
 def z_scores(scores: DataFrame, n_docs: Column | int, fill: Column | float = 0.0, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """Scores less the query's mean over its population standard deviation plus 1e-6.
 
@@ -59,13 +71,5 @@ def z_scores(scores: DataFrame, n_docs: Column | int, fill: Column | float = 0.0
     nothing is densified; rows without a score have the z-score of ``fill``, which ``z_fill`` gives.
     A fill that is a column may use the columns of ``by`` alone.
     """
-    n = n_docs if isinstance(n_docs, Column) else F.lit(n_docs)
-    rest, fill_c = n - F.count("*"), fill if isinstance(fill, Column) else F.lit(float(fill))
-    moments = scores.groupBy(*by).agg(((F.sum("score") + fill_c * rest) / n).alias("__mean"), F.count("*").alias("__present"), F.var_pop("score").alias("__var"), F.avg("score").alias("__own"))
-    share = F.col("__present") / n
-    # The variance of two groups: within the present rows, and between them and the fill.
-    spread = F.sqrt(share * F.col("__var") + share * (1 - share) * F.pow(F.col("__own") - fill_c, 2)) + 1e-6
-    joined = scores.join(moments.withColumn("__spread", spread), list(by))
-    return joined.select(
-        *scores.columns, ((F.col("score") - F.col("__mean")) / F.col("__spread")).alias("z"), ((fill_c - F.col("__mean")) / F.col("__spread")).alias("z_fill")
-    )
+    joined = scores.join(z_moments(scores, n_docs, fill, by), list(by))
+    return joined.select(*scores.columns, ((F.col("score") - F.col("mean")) / F.col("spread")).alias("z"), "z_fill")

@@ -18,6 +18,7 @@ from harrow.functions import html as html_fields
 from harrow.functions.stem import stem_text
 from harrow.functions.text import instruct, normalize_text, remove_noise, shingles, title_of, token_count, tokens
 from harrow.operators import classify, evaluate, graph, ltr, neighbors, pairs, rank, spell
+from harrow.operators.blocks import small
 from harrow.operators.lineage import cut
 from harrow.operators.vector import FIELDS, ArticleIndex, BlockSpace, BM25Index, Field, TfidfIndex, dealt, fit_tfidf, term_counts, vocabulary
 from harrow.plans import runs
@@ -157,19 +158,24 @@ def _top(scores: str, k: int = 10) -> str:
     return f"(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM {scores} QUALIFY rank <= {k})"
 
 
-_indexes: dict[tuple, ArticleIndex | BM25Index | TfidfIndex] = {}
+_indexes: dict[tuple, ArticleIndex | BM25Index | DataFrame | TfidfIndex] = {}
 
 
-def _index(spark: SparkSession, d: str, name: str, fit: Callable[[DataFrame], ArticleIndex | BM25Index | TfidfIndex]):
+def _index(spark: SparkSession, d: str, name: str, fit: Callable[[DataFrame], ArticleIndex | BM25Index | DataFrame | TfidfIndex]):
     """The fitted index over a session's documents, used by several queries until the table is written anew."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/documents.parquet")
     status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
     key = (spark.sparkContext.applicationId, d, name, status.getModificationTime(), status.getLen())
     if key not in _indexes:
-        _indexes[key] = fit(_docs(spark, d, by_id=True))
+        _indexes[key] = fit(dealt(_articles(spark, d), "doc_id") if name != "articles" else _docs(spark, d, by_id=True))
     return _indexes[key]
 
 
+def _articles(spark: SparkSession, d: str) -> DataFrame:
+    """``_docs`` written: else every expression that names a cleaned text cleans it anew, some once a term."""
+    return _index(spark, d, "articles", cut)
+
+
 def _bm25(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat_ws(" ", "title_clean", "title_clean", F.substring("body_clean", 1, 30_000))
     index = _index(spark, d, "bm25", lambda docs: BM25Index(1, 2, 120_000).fit(docs, "doc_id", text))
@@ -356,6 +362,14 @@ def _sources(spark: SparkSession, d: str) -> DataFrame:
     return named(_bm25(spark, d), "bm25").unionByName(named(_title_chars(spark, d), "title_char"))
 
 
+def _featured(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Candidates with their features, and the labels; scores, labels and candidates are read several times, so written."""
+    items = _items(spark, d)
+    scores, labels = cut(_sources(spark, d)), cut(_contained(_articles(spark, d), items))
+    chosen = cut(pairs.candidates(scores, ["bm25"], labels.select("doc_id"), items, labels))
+    return pairs.pair_features(small(chosen), scores, {"bm25": 0.0, "title_char": 0.0}, table(spark, d, "documents").count()), labels
+
+
 @_query(f"WITH {_CANDIDATES} SELECT query_id, doc_id FROM cand")
 def candidate_union(spark, d):
     docs, items = _docs(spark, d, by_id=True), _items(spark, d)
@@ -376,10 +390,7 @@ def candidate_union(spark, d):
            round(abs(bm25_rr - title_char_rr) / 2, 6) AS rank_std, ((bm25_rr >= 0.1)::INT + (title_char_rr >= 0.1)::INT) AS ranks_at_01, ((bm25_rr >= 0.05)::INT + (title_char_rr >= 0.05)::INT) AS ranks_at_005
     FROM x""")
 def pair_features(spark, d):
-    docs, items = _docs(spark, d, by_id=True), _items(spark, d)
-    scores, labels = _sources(spark, d), _contained(docs, items)
-    chosen = pairs.candidates(scores, ["bm25"], labels.select("doc_id"), items, labels)
-    out = pairs.pair_features(chosen, scores, {"bm25": 0.0, "title_char": 0.0}, docs.count())
+    out, _ = _featured(spark, d)
     places = {"bm25": 4, "bm25_z": 4, "title_char": 4, "title_char_z": 4, "bm25_rr": 6, "title_char_rr": 6, "rank_mean": 6, "rank_max": 6, "rank_std": 6}
     return out.withColumns({c: F.round(c, n) for c, n in places.items()})
 
@@ -504,7 +515,7 @@ _ALL_FIELDS = "UNION ALL".join(f" SELECT query_id, doc_id, '{f.name}' AS source,
 @_query(f"WITH {_PARTS}, {', '.join(_field_sql(f, f'_{k}') for k, f in enumerate(FIELDS))} {_ALL_FIELDS}")
 def lexical_fields(spark, d):
     """The five best documents of every item by each of the fifteen lexical sources."""
-    docs, items = _docs(spark, d, by_id=True), _items(spark, d)
+    docs, items = dealt(_articles(spark, d), "doc_id"), _items(spark, d)
     piece = lambda a, n: F.array_join(F.slice(tokens(F.col("body_clean")), a, n), " ")
     docs = docs.withColumns({"title_stem": F.col("title_clean"), "body_stem": F.col("body_clean"), "important_clean": piece(9, 12), "anchor_clean": piece(21, 10), "alt_clean": piece(31, 10), "intro_clean": F.substring("body_clean", 1, 1200)})
     index = _index(spark, d, "fields", lambda _: ArticleIndex(FIELDS).fit(docs, "doc_id"))
@@ -719,10 +730,8 @@ def dense_knn_label_transfer(spark, d):
 @_query()
 def lambda_rank(spark, d):
     """A boosted ranker on the pair features, each half of the items ranked by the model of the other half."""
-    docs, items = _docs(spark, d, by_id=True), _items(spark, d)
-    scores, labels = _sources(spark, d), _contained(docs, items)
-    chosen = pairs.candidates(scores, ["bm25"], labels.select("doc_id"), items, labels)
-    rows = pairs.pair_features(chosen, scores, {"bm25": 0.0, "title_char": 0.0}, docs.count()).join(labels.withColumn("label", F.lit(1.0)), ["query_id", "doc_id"], "left").fillna(0.0, ["label"])
+    featured, labels = _featured(spark, d)
+    rows = featured.join(labels.withColumn("label", F.lit(1.0)), ["query_id", "doc_id"], "left").fillna(0.0, ["label"])
     rows = cut(rows)
     features = [c for c in rows.columns if c not in ("query_id", "doc_id", "label")]
     half, out = evaluate.fold_of(F.col("query_id"), 2), None

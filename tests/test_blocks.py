@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,3 +111,19 @@ def test_profiles_meet_in_blocks(spark, analyzer):
     assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
     with pytest.raises(ValueError):
         BlockSpace(analyzer, 1, 2).transform(docs, "doc_id", F.col("profile"))
+
+
+def test_pairs_reach_python_in_small_batches_with_one_variant(spark):
+    """Two tasks of an executor hold some batches each beside its heap; Spark's own limit is 64 MB a batch."""
+    rows = spark.range(2400).select("id", F.explode(F.sequence(F.lit(0), F.lit(99))).alias("number"), *(F.lit(1.0 + k).alias(f"w{k}") for k in range(5)))
+    left, right = blocks.pack(rows.select("id", "number", "w0"), "id", part=F.col("id") % 5), blocks.pack(rows, "id", 5)
+
+    def sizes(batches):
+        for batch in batches:
+            pair = max(sum(batch.column(c)[i].as_buffer().size for c in range(batch.num_columns) if str(batch.schema.types[c]) == "binary") for i in range(batch.num_rows))
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes]), pa.array([pair])], names=["pairs", "bytes", "pair"])
+
+    got = blocks._met(left, right, sizes, "pairs long, bytes long, pair long").agg(F.sum("pairs"), F.max("bytes"), F.max("pair")).first()
+    assert got[0] == left.count() * right.count()
+    assert got[1] <= 2 * blocks.BATCH and got[2] <= blocks.BATCH
+    assert right.select(F.size("weights")).distinct().collect() == [(5,)]

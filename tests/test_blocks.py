@@ -127,3 +127,20 @@ def test_pairs_reach_python_in_small_batches_with_one_variant(spark):
     assert got[0] == left.count() * right.count()
     assert got[1] <= 2 * blocks.BATCH and got[2] <= blocks.BATCH
     assert right.select(F.size("weights")).distinct().collect() == [(5,)]
+
+
+@pytest.mark.parametrize("analyzer", ["word", "char_wb"])
+def test_profiles_of_all_folds_in_one_run(spark, analyzer, monkeypatch):
+    """What is answered fold by fold, by five fitted spaces; class 3 has labelled queries of one fold alone."""
+    words = ["red", "fox", "a", "hen", "blue", "fish", "pond"]
+    queries = spark.createDataFrame([(i, " ".join(words[(i * j + j) % 7] for j in range(1, 5))) for i in range(12)], "query_id long, query_clean string")
+    labels = spark.createDataFrame([(i, 3 if i in (4, 9) else i % 3) for i in range(12)], "query_id long, doc_id long")
+    articles = spark.createDataFrame([(0, "red fox", "a fox and a hen"), (1, "pond", ""), (2, None, "blue fish"), (3, "hen", "x" * 3998 + " fish")], "doc_id long, title_clean string, body_clean string")
+    fold, want = F.pmod(F.col("query_id"), F.lit(5)), {}
+    for k in range(5):
+        profile = classify.profiles(articles, queries, labels.where(fold != k))
+        want |= scores(classify.profile_scores(profile, queries.where(fold == k), F.col("query_clean"), analyzer, 1, 2, 9))
+    fitted = []
+    monkeypatch.setattr(BlockSpace, "fit", lambda self, *a: fitted.append(a))
+    got = classify.profile_scores_by_folds(articles, queries, labels, 5, analyzer, 1, 2, 9)
+    assert scores(got) == {k: pytest.approx(v) for k, v in want.items()} and not fitted

@@ -245,3 +245,17 @@ def test_features_read_no_score_table_more_than_four_times(spark, tmp_path):
     chosen = spark.createDataFrame([(1, 1), (1, 3)], "query_id long, doc_id long")
     plan = pairs.pair_features(chosen, table, {"s": 0.0}, 4)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [") <= 4 and "LeftSemi" in plan
+
+
+def test_svc_brings_no_training_row_to_the_driver(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    m = rng.random((24, 6)) * (rng.random((24, 6)) < 0.7)
+    m[:, 0] += 0.1
+    rows = spark.createDataFrame([(i, f"t{j}", float(m[i, j])) for i in range(24) for j in range(6) if m[i, j]], "query_id long, term string, weight double")
+    labels = spark.createDataFrame([(i, i % 3) for i in range(24)], "query_id long, doc_id long")
+    monkeypatch.setattr(type(rows), "toPandas", lambda self: pytest.fail("rows went to the driver"))
+    got = as_dict(classify.linear_svc(rows, rows, labels, 0.3), "query_id", "doc_id")
+    at = [np.flatnonzero(v) for v in m]
+    for c in range(3):
+        w = classify._fit_squared_hinge(at, [v[x] for v, x in zip(m, at, strict=True)], np.array([1.0 if i % 3 == c else -1.0 for i in range(24)]), 6, 0.3)
+        assert [got[i, c] for i in range(24)] == pytest.approx(list(m @ w[:-1] + w[-1]), abs=1e-3)

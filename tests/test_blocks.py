@@ -144,3 +144,29 @@ def test_profiles_of_all_folds_in_one_run(spark, analyzer, monkeypatch):
     monkeypatch.setattr(BlockSpace, "fit", lambda self, *a: fitted.append(a))
     got = classify.profile_scores_by_folds(articles, queries, labels, 5, analyzer, 1, 2, 9)
     assert scores(got) == {k: pytest.approx(v) for k, v in want.items()} and not fitted
+
+
+def test_blocks_of_texts_are_small_and_exact(spark):
+    """TF-IDF weights have few values before vectors are scaled; a block took 12 bytes an entry, four numbers and a length besides."""
+    rng = np.random.default_rng(7)
+    words = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(300)]
+    docs = spark.createDataFrame([(i, " ".join(words[j] for j in (300 * rng.random(60) ** 2).astype(int))) for i in range(400)], "query_id long, t string")
+    vectors = BlockSpace("char_wb", 3, 5).fit(docs, "query_id", F.col("t")).transform(docs, "query_id", F.col("t"))
+    got, n, size = {}, 0, 0
+    for b in vectors.collect():
+        row, term, weight = blocks.entries(*(pa.py_buffer(x) for x in (b["terms"], b["rows"], b["weights"][0])))
+        ids = np.frombuffer(b["ids"], np.int64)
+        got |= {int(i): np.sort(weight[row == k]) for k, i in enumerate(ids)}
+        n, size = n + len(row), size + sum(map(len, (b["ids"], b["terms"], b["rows"], b["weights"][0])))
+    want = {}
+    for r in fit_tfidf(docs, "query_id", F.col("t"), "char_wb", 3, 5).postings.collect():
+        want.setdefault(r["doc_id"], []).append(r["weight"])
+    assert got.keys() == want.keys() and all(np.allclose(got[i], np.sort(want[i])) for i in want)
+    assert size < 6 * n
+
+
+def test_nearest_leave_a_task_as_one_row_a_query(spark):
+    vectors = blocks.pack(table(spark, sparse(np.random.default_rng(8), 40, 0.9)), "id")
+    near = neighbors.nearest_of_blocks(vectors, vectors, 7, 5)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "scores#" in plan and "Window" not in plan and near.count() == 40 * 7

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from harrow.operators import blocks, classify, neighbors
 from harrow.operators.vector import BlockSpace, fit_tfidf
+from harrow.plans import catalogue
 
 # Numbers on either side of the dense columns.
 NUMBERS = [0, 1, 2, blocks.DENSE - 1, blocks.DENSE, blocks.DENSE + 7, 90_000]
@@ -170,3 +171,9 @@ def test_nearest_leave_a_task_as_one_row_a_query(spark):
     near = neighbors.nearest_of_blocks(vectors, vectors, 7, 5)
     plan = near._jdf.queryExecution().executedPlan().toString()
     assert "scores#" in plan and "Window" not in plan and near.count() == 40 * 7
+
+
+@pytest.mark.parametrize("name", ["knn_char_sum", "knn_char_max"])
+def test_neighbours_meet_their_labels_without_a_shuffle(spark, name):
+    plan = catalogue.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(query_id" in plan and "SortMergeJoin" not in plan and "Exchange hashpartitioning(train_id" not in plan

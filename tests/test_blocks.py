@@ -191,3 +191,15 @@ def test_variants_that_agree_are_kept_once(spark):
             row, term, weight = blocks.entries(*(pa.py_buffer(x) for x in (b["terms"], b["rows"], b["base"], b["weights"][k])))
             assert all(np.isnan(w) if (x := want[int(ids[i]), int(t)][k]) is None else w == x for i, t, w in zip(row, term, weight, strict=True))
     assert sum(b["size"] for b in made) < 20 * len(rows)
+
+
+def test_profiles_of_words_are_dealt_as_one_row_a_class(spark):
+    queries = spark.createDataFrame([(i, f"red fox {i}") for i in range(10)], "query_id long, query_clean string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(10)], "query_id long, doc_id long")
+    articles = spark.createDataFrame([(0, "a hen", "a hen on a pond"), (1, None, "blue fish"), (2, "no queries", "")], "doc_id long, title_clean string, body_clean string")
+    rows = classify._fold_pieces(articles, queries, labels, 5, "word", "title_clean", "body_clean", "query_clean")
+    assert rows.count() == 3
+    got = {(r["doc_id"], r["seen"]): r["text"].split() for r in classify._fold_profiles(rows, 5).collect()}
+    fold = F.pmod(F.col("query_id"), F.lit(5))
+    want = {(r["doc_id"], 1 << k): r["profile"].split() for k in range(5) for r in classify.profiles(articles, queries, labels.where(fold != k)).collect()}
+    assert got == want

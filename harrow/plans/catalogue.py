@@ -19,6 +19,7 @@ from harrow.functions.stem import stem_text
 from harrow.functions.text import instruct, normalize_text, remove_noise, shingles, title_of, token_count, tokens
 from harrow.operators import classify, evaluate, graph, ltr, neighbors, pairs, rank, spell
 from harrow.operators.blocks import small
+from harrow.operators.fields import best_of_fields
 from harrow.operators.lineage import cut
 from harrow.operators.vector import FIELDS, ArticleIndex, BlockSpace, BM25Index, Field, TfidfIndex, dealt, fit_tfidf, term_counts, vocabulary
 from harrow.plans import runs
@@ -167,7 +168,7 @@ def _index(spark: SparkSession, d: str, name: str, fit: Callable[[DataFrame], Ar
     status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
     key = (spark.sparkContext.applicationId, d, name, status.getModificationTime(), status.getLen())
     if key not in _indexes:
-        _indexes[key] = fit(dealt(_articles(spark, d), "doc_id") if name != "articles" else _docs(spark, d, by_id=True))
+        _indexes[key] = fit(None if name == "parts" else dealt(_articles(spark, d), "doc_id") if name != "articles" else _docs(spark, d, by_id=True))
     return _indexes[key]
 
 
@@ -512,14 +513,20 @@ def _field_sql(f: Field, tag: str) -> str:
 _ALL_FIELDS = "UNION ALL".join(f" SELECT query_id, doc_id, '{f.name}' AS source, round(score, 6) AS score, rank FROM {_top(f's_{k}', 5)} " for k, f in enumerate(FIELDS))
 
 
+def _parts_of_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The articles' parts, written: they are read twice for each way of cutting.  Texts of few files are dealt out."""
+    docs = _docs(spark, d)
+    docs = docs if docs.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism else _docs(spark, d, by_id=True)
+    piece = lambda a, n: F.array_join(F.slice(tokens(F.substring_index("body_clean", " ", 40)), a, n), " ")
+    return cut(docs.select("doc_id", "body_clean", piece(1, 8).alias("title_clean"), piece(9, 12).alias("important_clean"), piece(21, 10).alias("anchor_clean"), piece(31, 10).alias("alt_clean")))
+
+
 @_query(f"WITH {_PARTS}, {', '.join(_field_sql(f, f'_{k}') for k, f in enumerate(FIELDS))} {_ALL_FIELDS}")
 def lexical_fields(spark, d):
     """The five best documents of every item by each of the fifteen lexical sources."""
-    docs, items = dealt(_articles(spark, d), "doc_id"), _items(spark, d)
-    piece = lambda a, n: F.array_join(F.slice(tokens(F.col("body_clean")), a, n), " ")
-    docs = docs.withColumns({"title_stem": F.col("title_clean"), "body_stem": F.col("body_clean"), "important_clean": piece(9, 12), "anchor_clean": piece(21, 10), "alt_clean": piece(31, 10), "intro_clean": F.substring("body_clean", 1, 1200)})
-    index = _index(spark, d, "fields", lambda _: ArticleIndex(FIELDS).fit(docs, "doc_id"))
-    scores = _nine(index.score(items.withColumn("query_stem", F.col("query_clean")), "query_id"))
+    parts, items = _index(spark, d, "parts", lambda _: _parts_of_documents(spark, d)), _items(spark, d)
+    docs = parts.withColumns({"title_stem": F.col("title_clean"), "body_stem": F.col("body_clean"), "intro_clean": F.substring("body_clean", 1, 1200)})
+    scores = best_of_fields(docs, "doc_id", items.withColumn("query_stem", F.col("query_clean")), "query_id", FIELDS, 5)
     return rank.top_k(scores, 5, ("query_id", "source")).select("query_id", "doc_id", "source", _six("score"), "rank")
 
 

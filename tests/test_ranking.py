@@ -259,3 +259,10 @@ def test_svc_brings_no_training_row_to_the_driver(spark, monkeypatch):
     for c in range(3):
         w = classify._fit_squared_hinge(at, [v[x] for v, x in zip(m, at, strict=True)], np.array([1.0 if i % 3 == c else -1.0 for i in range(24)]), 6, 0.3)
         assert [got[i, c] for i in range(24)] == pytest.approx(list(m @ w[:-1] + w[-1]), abs=1e-3)
+
+
+def test_svc_fits_every_row_of_a_large_table(spark):
+    train = spark.range(50_001).select(F.col("id").alias("query_id"), F.lit("a").alias("term"), F.lit(1.0).alias("weight"))
+    last = train.orderBy(F.xxhash64("query_id").desc(), F.desc("query_id")).first()["query_id"]  # the one that a cut at 50,000 rows lost
+    got = classify.linear_svc(train.where("query_id < 2"), train, spark.createDataFrame([(last, 7)], "query_id long, doc_id long"), 0.001)
+    assert {(r["query_id"], r["doc_id"]) for r in got.collect()} == {(0, 7), (1, 7)}

@@ -266,3 +266,20 @@ def test_svc_fits_every_row_of_a_large_table(spark):
     last = train.orderBy(F.xxhash64("query_id").desc(), F.desc("query_id")).first()["query_id"]  # the one that a cut at 50,000 rows lost
     got = classify.linear_svc(train.where("query_id < 2"), train, spark.createDataFrame([(last, 7)], "query_id long, doc_id long"), 0.001)
     assert {(r["query_id"], r["doc_id"]) for r in got.collect()} == {(0, 7), (1, 7)}
+
+
+def test_svc_scores_where_it_fits(spark):
+    rng = np.random.default_rng(3)
+    m = rng.random((1200, 40)) * (rng.random((1200, 40)) < 0.2)
+    m[:, 0] += 0.1
+    m /= np.sqrt((m * m).sum(1, keepdims=True))
+    rows = spark.createDataFrame([(i, f"t{j}", float(m[i, j])) for i in range(1200) for j in range(40) if m[i, j]], "query_id long, term string, weight double")
+    asked = rows.where("query_id < 50").unionByName(spark.createDataFrame([(9999, "never seen", 1.0)], "query_id long, term string, weight double"))
+    made = classify.linear_svc(asked, rows, spark.createDataFrame([(i, i % 400) for i in range(4)], "query_id long, doc_id long"), 0.3)
+    assert "Aggregate" not in made._jdf.queryExecution().optimizedPlan().toString()  # no table of terms of classes is summed
+    got = as_dict(made, "query_id", "doc_id")
+    at = [np.flatnonzero(v) for v in m]
+    for c in range(4):
+        w = classify._fit_squared_hinge(at, [v[x] for v, x in zip(m, at, strict=True)], np.array([1.0 if i == c else -1.0 for i in range(1200)]), 40, 0.3)
+        assert [got[i, c] for i in range(50)] == pytest.approx(list(m[:50] @ w[:-1] + w[-1]), abs=2e-3)
+        assert got[9999, c] == pytest.approx(w[-1], abs=2e-3)

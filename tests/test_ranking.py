@@ -283,3 +283,11 @@ def test_svc_scores_where_it_fits(spark):
         w = classify._fit_squared_hinge(at, [v[x] for v, x in zip(m, at, strict=True)], np.array([1.0 if i == c else -1.0 for i in range(1200)]), 40, 0.3)
         assert [got[i, c] for i in range(50)] == pytest.approx(list(m[:50] @ w[:-1] + w[-1]), abs=2e-3)
         assert got[9999, c] == pytest.approx(w[-1], abs=2e-3)
+
+
+def test_lambdas_meet_by_score(monkeypatch):
+    rng, seen, plain = np.random.default_rng(5), [], np.exp
+    score, label = rng.integers(0, 6, 3000) / 4, (rng.random(3000) < 0.2) * 1.0
+    monkeypatch.setattr(np, "exp", lambda x: seen.append(np.size(x)) or plain(x))
+    g, h = ltr.lambdas(score, label)
+    assert sum(seen) <= 36 and abs(g.sum()) < 1e-9 and (h >= 0).all()  # six scores meet, not 600 rows with 2,400
